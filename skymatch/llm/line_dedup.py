@@ -1 +1,194 @@
-def clean(docs): raise NotImplementedError
+"""Line dedup by a segment-partition edit join.
+
+Lines of at least ``min_chars`` characters that were seen before, in the order
+of (document id, text hash, line number), are dropped. A line was seen before
+if an equal line was, or, from ``near_chars`` characters on, one that is linked
+to it by steps of at most ``edits`` edits.
+
+Two lines within t edits, one cut into t + 1 segments, share one segment whole
+(pigeonhole), at a place that differs by no more than t. Every distinct line is
+indexed by its segments and probes, for each length it may match, the few
+substrings that can equal a segment there (the multi-match-aware windows of
+Li et al., 2011, "Pass-Join"). Equal keys are candidates, verified by banded
+bit-parallel edit distance.
+
+Keys with up to ``bucket`` indexed lines give pairs. Larger buckets, as made by
+thousands of variants of one line, are compared block by block, without pairs
+leaving the task: a block returns a spanning forest of its links.
+
+A line is trimmed of blanks, tabs and carriage returns for comparison only.
+Equality is decided by 128 bits of hash.
+
+Defined results: a null or empty text has one empty line and loses nothing; a
+null id sorts first and is an id like any other; rows that repeat id and text
+are one document and lose the same lines; documents stay, if need be with an
+empty text; an empty table gives no rows; other columns are untouched.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise, small
+from .edit import points, within
+from .graph import components, merge_labels
+
+#: Shortest line that can be dropped, shortest that is matched by edits, edits, and lines in a bucket of pairs.
+MIN_CHARS, NEAR_CHARS, EDITS, BUCKET = 24, 48, 2, 16
+#: Lines on each side of a block of a large bucket.
+BLOCK = 1024
+
+
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``(doc_id, th, pos, line, h1, h2, size)`` of the lines that are long enough."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    line = F.expr("trim(BOTH ' \t\r' FROM line)")
+    rows = split.withColumn("line", line).withColumn("size", F.char_length("line")).where(F.col("size") >= min_chars)
+    return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+
+
+def _segment(k: int, size: Column, edits: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``k`` of a line: edits + 1 even parts, the longer ones last."""
+    parts = edits + 1
+    base = F.floor(size / parts).cast("int")
+    long = size - base * parts  # so many parts are one longer
+    start = base * k + F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - long))
+    return start, base + (F.lit(k) >= F.lit(parts) - long).cast("int")
+
+
+def _key(k: int, size: Column, start: Column, length: Column) -> Column:
+    return F.xxhash64(F.lit(k), size, F.substr("line", start + 1, length))
+
+
+def index_keys(edits: int) -> Column:
+    size = F.col("size")
+    return F.array(*[_key(k, size, *_segment(k, size, edits)) for k in range(edits + 1)])
+
+
+def probe_keys(edits: int, near_chars: int) -> Column:
+    """Keys of the substrings that can equal a segment of a line that is 0 to ``edits`` shorter."""
+    keys = []
+    for less in range(edits + 1):
+        size = F.col("size") - less
+        for k in range(edits + 1):
+            start, length = _segment(k, size, edits)
+            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
+                at = start + shift
+                valid = (at >= 0) & (at + length <= F.col("size")) & (size >= near_chars)
+                keys.append(F.when(valid, _key(k, size, at, length)))
+    return F.array_compact(F.array(*keys))
+
+
+def near_edges(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(src, dst)`` over ``h1`` that join each class of near-equal lines, and the texts ``(h1, h2, line)`` at stake.
+
+    ``lines(h1, h2, size, line)`` should hold each line once; repeats cost work only.
+    """
+    long = lines.where(F.col("size") >= near_chars)
+    index = long.select(F.explode(index_keys(edits)).alias("key"), F.col("h1").alias("id"))
+    probe = long.select(F.explode(probe_keys(edits, near_chars)).alias("key"), F.col("h1").alias("id"))
+    held = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    hits = probe.join(held, "key").where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")))
+    hits = materialise(hits.distinct(), "hits")
+    keys = materialise(hits.where("low != high").select("key", "n").distinct(), "keys")
+    mates = materialise(index.join(small(keys, keys.count()), "key").distinct(), "mates")
+    alone = hits.where("low = high").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    few = hits.where(f"low != high and n <= {bucket}").select("key", F.col("id").alias("a")).join(mates.where(f"n <= {bucket}").select("key", F.col("id").alias("b")), "key")
+    pairs = alone.unionByName(few.select("a", "b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(hits.where(f"n > {bucket}").select(F.col("id").alias("h1"))).unionByName(mates.where(f"n > {bucket}").select(F.col("id").alias("h1"))).distinct(), "ids")
+    texts = materialise(long.join(small(ids, ids.count()), "h1").select("h1", "h2", "line").dropDuplicates(["h1", "h2"]), "texts")
+    left, right = (texts.select(F.col("h1").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verify(edits), "src long, dst long")
+    return materialise(verified.unionByName(_blocks(hits, mates, texts, edits, bucket)), "links"), texts
+
+
+def _verify(edits: int):
+    def run(batches):
+        for batch in batches:
+            good = within([points(t) for t in batch.column(2).to_pylist()], [points(t) for t in batch.column(3).to_pylist()], edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good))
+
+    return run
+
+
+def _blocks(hits: DataFrame, mates: DataFrame, texts: DataFrame, edits: int, bucket: int) -> DataFrame:
+    """Links in the large buckets: probing lines against indexed lines in blocks of both."""
+    probing = hits.where(f"n > {bucket}").select("key", "id", "n").distinct()
+    sizes = probing.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    others = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    indexed = mates.where(f"n > {bucket}").select("key", "id").join(sizes, "key").select("key", "id", own("n").alias("i"), others("m").alias("j"), F.lit(0).alias("side"))
+    probing = probing.select("key", "id").join(sizes, "key").select("key", "id", others("n").alias("i"), own("m").alias("j"), F.lit(1).alias("side"))
+    rows = indexed.unionByName(probing).join(texts.select(F.col("h1").alias("id"), "line"), "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        ids, lines = group.column("id").to_numpy(), [points(t) for t in group.column("line").to_pylist()]
+        marks = np.array([np.bincount(x & 63, minlength=64) for x in lines], "i4")
+        x, y = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        labels = np.arange(len(ids))
+        for i in x.tolist():  # an edit changes the counts by 2 at most
+            near = y[np.abs(marks[y] - marks[i]).sum(axis=1) <= 2 * edits]
+            near = near[labels[near] != labels[i]]
+            good = near[within([lines[i]] * len(near), [lines[j] for j in near.tolist()], edits)]
+            labels = merge_labels(labels, np.full(len(good), i), good)
+        out = np.nonzero(labels != np.arange(len(ids)))[0]
+        return pa.table({"src": ids[out], "dst": ids[labels[out]]}, pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "src long, dst long")
+
+
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS, bucket: int = BUCKET) -> DataFrame:
+    """``(doc_id, th, dropped, n_near, first_doc)``: line numbers to drop, for documents that lose any.
+
+    ``n_near`` of them match an earlier line by edits alone; ``first_doc`` is
+    the smallest id of a document that keeps one of the lines dropped here.
+    """
+    lines = _lines(docs, min_chars)
+    seen = materialise(lines.select("doc_id", "th", "pos", "h1", "h2"), "lines")
+    again = materialise(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "repeated")
+    n_again = again.count()
+    place = F.struct("doc_id", "th", "pos")
+    first = materialise(seen.join(small(again, n_again), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")
+    once = lines.join(small(first, n_again), ["h1", "h2"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(place))
+    edges, texts = near_edges(once.select("h1", "h2", "size", "line"), edits, near_chars, bucket)
+    linked = texts.select("h1", "h2").join(components(edges).withColumnRenamed("node", "h1"), "h1")
+    classes = linked.select("h1", "h2", "component", F.lit(0).cast("long").alias("rest")).unionByName(again.join(linked, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("h1").alias("component"), F.col("h2").alias("rest")))
+    classes = materialise(classes, "classes")
+    found = materialise(seen.join(small(classes, classes.count()), ["h1", "h2"]), "found")
+    heads = materialise(found.groupBy("component", "rest").agg(F.min_by(F.struct("doc_id", "th", "pos", "h1"), place).alias("head")), "heads")
+    late = found.join(small(heads, heads.count()), ["component", "rest"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.struct("head.doc_id", "head.th", "head.pos")))
+    late = late.distinct()
+    return late.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("pos")).alias("dropped"), F.count_if(F.col("h1") != F.col("head.h1")).alias("n_near"), F.min("head.doc_id").alias("first_doc"))
+
+
+def _with_drops(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with ``th`` and the columns of ``found``; null where nothing is dropped."""
+    found = materialise(found, "drops").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    return keyed.join(small(found, found.count(), 200_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left").drop("_id", "_th", "_text_hash")
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: ``doc_id, n_lines, n_dropped, n_near, dropped, first_doc``."""
+    narrow = docs.select("doc_id", "text")
+    rows = _with_drops(narrow, drops(narrow, **options))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    none = F.array().cast("array<int>")
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce("dropped", none).alias("dropped"), F.coalesce("first_doc", "doc_id").alias("first_doc"))
+
+
+def clean(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the dropped lines, and ``n_chars``, if there is one, counted anew."""
+    rows = _with_drops(docs, drops(docs.select("doc_id", "text"), **options))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("dropped"), i))
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return rows.select(*docs.columns)
