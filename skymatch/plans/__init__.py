@@ -1 +1 @@
-"""Part of the skymatch engine; see the README."""
+"""Registered queries and the tables they derive from the given ones."""
