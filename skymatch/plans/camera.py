@@ -227,7 +227,7 @@ def fine_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A planted sky: each frame sees the stars of its cone through a known rotation.
-SKY_FOV, SKY_MAG, SKY_W, SKY_H = math.radians(24.0), 8.0, 1024.0, 768.0
+SKY_FOV, SKY_W, SKY_H = math.radians(20.0), 1024.0, 768.0
 
 
 def planted(spark: SparkSession, sf_dir: str, spots: int = 14) -> DataFrame:
@@ -246,7 +246,7 @@ def planted(spark: SparkSession, sf_dir: str, spots: int = 14) -> DataFrame:
 
 def sky_database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     stars = frame(spark, sf_dir, "stars")
-    return catalogue.generate(stars, SKY_FOV, pattern_stars_per_fov=8, verification_stars_per_fov=30)
+    return catalogue.generate(stars, SKY_FOV, pattern_stars_per_fov=5, verification_stars_per_fov=30)
 
 
 def database_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +260,7 @@ query()(database_build)
 def plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars, patterns = sky_database(spark, sf_dir)
     detections = planted(spark, sf_dir).select("frame_id", "det_idx", "x", "y")
-    found = solver.solve(detections, stars, patterns, SKY_W, SKY_H, SKY_FOV, math.radians(2.0))
+    found = solver.solve(detections, stars, patterns, SKY_W, SKY_H, SKY_FOV, math.radians(1.0), match_radius=0.004)
     return found.select("frame_id", *[F.round(c, 4).alias(c) for c in ("ra", "dec", "roll", "fov")], F.round("rmse", 1).alias("rmse"), "matches")
 
 
