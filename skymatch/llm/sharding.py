@@ -39,7 +39,7 @@ def propagate(nodes: DataFrame, shards: int, room: list[int], rounds: int = 6) -
     ``spread`` is a hash of the row that deals the border class of a quota.
     """
     spark = nodes.sparkSession
-    for _ in range(rounds):
+    for turn in range(rounds):
         held = dict(nodes.groupBy("shard").count().collect())
         left = [max(0, room[s] - held.get(s, 0)) for s in range(shards)]
         counts = materialise(nodes.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")), "labels")
@@ -62,7 +62,7 @@ def propagate(nodes: DataFrame, shards: int, room: list[int], rounds: int = 6) -
             break
         table = F.broadcast(spark.createDataFrame(grant, "aim int, gain int, share double"))  # shards x classes rows
         moves = moves.join(table, ["aim", "gain"]).where("share > 0").select("grp", "shard", "aim", "share")
-        drawn = F.pmod("spread", F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = F.pmod(F.xxhash64("spread", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         joined = nodes.join(small(moves, moves.count()), ["grp", "shard"], "left")
         nodes = materialise(joined.withColumn("shard", F.when(drawn < F.col("share"), F.col("aim")).otherwise(F.col("shard"))).select(*nodes.columns), "nodes")
     return nodes
