@@ -6,8 +6,9 @@ of one population count, so tile pairs whose counts differ by more than the
 radius are never formed, and inside a pair only the slice whose upper-half
 counts allow the radius is compared. Nothing is approximate.
 
-Each tile pair returns a spanning forest of its links, not the links, so a group
-of n near copies gives fewer than n rows a pair and every component is whole.
+Each tile pair returns a forest over what its links join (every member and the
+first of its local group), not the links, so n near copies give fewer than n
+rows a pair and every component is whole.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0
 and is linked like any other; a null id gets a component but never names one
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int = 512, cols: int = 2048) -> np.ndarray:
-    """Edges (n, 2) of a spanning forest over the pairs of ``a`` and ``b`` within ``radius`` bits.
+    """Edges (n, 2) of a forest that joins what the pairs of ``a`` and ``b`` within ``radius`` bits join.
 
     Each array has one population count. With d the difference of the counts,
     two values within the radius differ in the count of their upper halves by

@@ -1,0 +1,76 @@
+import random
+
+from skymatch.llm import line_dedup
+from skymatch.llm.edit import _table, points, within
+
+
+def test_banded_distance_equals_the_table():
+    r = random.Random(5)
+    a, b = [], []
+    for _ in range(800):
+        s = [r.choice("abé") for _ in range(r.randint(0, 50))]
+        t = s[:]
+        for _ in range(r.randint(0, 4)):
+            at = r.randint(0, len(t))
+            t[at : at + r.randint(0, 1)] = [r.choice("abz")] * r.randint(0, 1)
+        a.append(points("".join(s)))
+        b.append(points("".join(t)))
+    for bound in (1, 2, 4):
+        assert within(a, b, bound).tolist() == [_table(x, y) <= bound for x, y in zip(a, b, strict=True)]
+
+
+def slow(rows, min_chars=24, near_chars=48, edits=2):
+    """Dropped line numbers by document, by comparing all pairs of lines."""
+    lines = [(d, k, s.strip(" \t\r")) for d, t in rows for k, s in enumerate((t or "").split("\n"))]
+    lines = sorted(x for x in lines if len(x[2]) >= min_chars)
+    kinds = sorted({x[2] for x in lines})
+    group = {s: {s} for s in kinds}
+    for i, s in enumerate(kinds):
+        for t in kinds[i + 1 :]:
+            if min(len(s), len(t)) >= near_chars and abs(len(s) - len(t)) <= edits and _table(points(s), points(t)) <= edits and group[s] is not group[t]:
+                merged = group[s] | group[t]
+                for u in merged:
+                    group[u] = merged
+    seen, out = set(), {d: [] for d, _ in rows}
+    for d, k, s in lines:
+        if s in seen:
+            out[d].append(k)
+        seen |= group[s]
+    return out
+
+
+def sample(seed, n, variants):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([10, 30, 47, 48, 49, 70, 90]))) + "x" for _ in range(12)]
+    rows = []
+    for d in range(n):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            s = list(r.choice(base))
+            for _ in range(r.randint(0, variants)):
+                at = r.randrange(len(s))
+                s[at : at + r.randint(0, 1)] = [r.choice("abcé")] * r.randint(0, 1)
+            lines.append("".join(s))
+        rows.append((d, "\n".join(lines)))
+    return rows
+
+
+def test_drops_equal_brute_force(make):
+    rows = sample(2, 40, 3)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.report(make(rows)).collect()}
+    assert got == slow(rows) and any(got.values())
+
+
+def test_large_buckets_equal_brute_force(make):
+    rows = sample(7, 60, 2)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.report(make(rows), bucket=1).collect()}
+    assert got == slow(rows)
+
+
+def test_clean_and_odd_rows(spark, odd, make):
+    line = "this line is long enough to be seen again"
+    docs = make([(1, f"{line}\nown words\n{line}", "en", "s", 9), (2, f"short\n {line} ", "en", "s", 9), (3, "short", None, None, 5), (4, None, None, None, None), (2, f"short\n {line} ", "en", "s", 9), (None, line, "en", "s", 1)])
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in line_dedup.clean(docs).collect()), key=repr)
+    assert got == sorted([(1, "own words", 9), (2, "short", 5), (2, "short", 5), (3, "short", 5), (4, None, None), (None, line, 1)], key=repr)
+    assert line_dedup.clean(odd).columns == odd.columns and line_dedup.clean(odd).count() == odd.count()
+    assert line_dedup.report(make([])).count() == 0

@@ -1,0 +1,69 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+from skymatch.llm import hnsw, sharding
+
+
+def exact(x, ids, q, k):
+    score = x @ x[q]
+    order = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:k]
+    return [(int(ids[i]), float(score[i])) for i in order]
+
+
+def test_recall_and_scores(spark):
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((12, 16))
+    x = (centres[r.integers(0, 12, 900)] + 0.6 * r.standard_normal((900, 16))).astype("f4").astype("f8") * r.uniform(0.5, 2, 900).astype("f4").astype("f8")[:, None]
+    x = x.astype("f4").astype("f8")
+    x[100:400] = x[100]  # a third are one vector
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = hnsw.search(table, F.col("id") % 20 == 0, shard_rows=150).toPandas()
+    ids = np.arange(len(x))
+    hits = total = 0
+    for q in range(0, 900, 20):
+        want = exact(x, ids, q, 20)
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and q not in set(mine.vec_id)
+        assert all(abs(s - x[i] @ x[q]) < 1e-9 for i, s in zip(mine.vec_id, mine.score, strict=True))
+        assert all((a.score, -a.vec_id) >= (b.score, -b.vec_id) for a, b in zip(mine.itertuples(), list(mine.itertuples())[1:], strict=False))
+        hits += len({i for i, _ in want} & set(mine.vec_id))
+        total += 20
+    assert hits / total >= 0.9
+
+
+def test_search_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0, nan]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (9, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in hnsw.search(table, F.col("id") % 20 == 0).collect()}
+    assert got == {(0, 1): (9, 1.0), (0, 2): (20, 1.0), (0, 3): (1, 0.5), (20, 1): (0, 1.0), (20, 2): (9, 1.0), (20, 3): (1, 0.5)}
+    assert hnsw.search(table.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_stored_graph_searches_alike():
+    x = np.random.default_rng(0).standard_normal((300, 8))
+    g = hnsw.Graph(x)
+    h = hnsw.Graph.stored(x, g.arrays())
+    for q in x[:20]:
+        assert g.nearest(q.astype("f4"), 5).tolist() == h.nearest(q.astype("f4"), 5).tolist()
+        assert g.nearest(q.astype("f4"), 5)[0] == np.argmin(((x - q) ** 2).sum(axis=1))
+
+
+def test_shards_are_even_and_groups_stay_together(spark, odd, make):
+    rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, f"pair {i // 3}") for i in range(90)] + [(5000 + i, "hot") for i in range(200)] + [(9000, None), (9001, None), (None, "")]
+    got = sharding.shard(make(rows)).collect()
+    assert len(got) == len(rows)
+    counts = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert max(counts) - min(counts) <= 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+    where = {}
+    for r in got:
+        where.setdefault(r["text_crc32"], set()).add(r["shard"])
+    texts = dict(rows)
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts.items()}
+    small = [len(where[zlib.crc32(f"pair {i}".encode())]) for i in range(30)]
+    assert np.mean([n == 1 for n in small]) > 0.8
+    assert len(where[zlib.crc32(b"hot")]) <= 5  # 200 of 593 rows fill at least three shards
+    assert sharding.shard(odd).count() == odd.count() and sharding.shard(make([])).count() == 0
