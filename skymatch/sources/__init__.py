@@ -1 +1 @@
-"""Part of the skymatch engine; see the README."""
+"""Readers and writers of catalogues, centroids, images and pair indexes."""

@@ -1 +1 @@
-"""Part of the skymatch engine; see the README."""
+"""Continuous forms: files of centroids as they arrive, and event-time counts."""
