@@ -14,7 +14,7 @@ bit-parallel edit distance.
 
 Keys with up to ``bucket`` indexed lines give pairs. Larger buckets, as made by
 thousands of variants of one line, are compared block by block, without pairs
-leaving the task: a block returns a spanning forest of its links.
+leaving the task: a block returns a forest over what its links join.
 
 A line is trimmed of blanks, tabs and carriage returns for comparison only.
 Equality is decided by 128 bits of hash.
@@ -50,36 +50,39 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _segment(k: int, size: Column, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``k`` of a line: edits + 1 even parts, the longer ones last."""
-    parts = edits + 1
-    base = F.floor(size / parts).cast("int")
-    long = size - base * parts  # so many parts are one longer
-    start = base * k + F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - long))
-    return start, base + (F.lit(k) >= F.lit(parts) - long).cast("int")
+def _segment(k: int, size: Column, base: Column, edits: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``k`` of a line: edits + 1 even parts of ``base`` characters, the last ones one longer."""
+    short = F.lit(edits + 1) - (size - base * (edits + 1))  # so many parts are not longer
+    return base * k + F.greatest(F.lit(0), F.lit(k) - short), base + (F.lit(k) >= short).cast("int")
 
 
 def _key(k: int, size: Column, start: Column, length: Column) -> Column:
     return F.xxhash64(F.lit(k), size, F.substr("line", start + 1, length))
 
 
+def with_bases(lines: DataFrame, edits: int) -> DataFrame:
+    """Add the part lengths of lines that are 0 to ``edits`` shorter, so that each is computed once."""
+    return lines.withColumns({f"_b{less}": F.expr(f"cast((size - {less}) div {edits + 1} as int)") for less in range(edits + 1)})
+
+
 def index_keys(edits: int) -> Column:
     size = F.col("size")
-    return F.array(*[_key(k, size, *_segment(k, size, edits)) for k in range(edits + 1)])
+    return F.array(*[_key(k, size, *_segment(k, size, F.col("_b0"), edits)) for k in range(edits + 1)])
 
 
-def probe_keys(edits: int, near_chars: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line that is 0 to ``edits`` shorter."""
+def probe_keys(edits: int) -> Column:
+    """Keys of the substrings that can equal a segment of a line that is 0 to ``edits`` shorter.
+
+    The windows lie inside every line that is long enough to be indexed.
+    """
     keys = []
     for less in range(edits + 1):
         size = F.col("size") - less
         for k in range(edits + 1):
-            start, length = _segment(k, size, edits)
+            start, length = _segment(k, size, F.col(f"_b{less}"), edits)
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                at = start + shift
-                valid = (at >= 0) & (at + length <= F.col("size")) & (size >= near_chars)
-                keys.append(F.when(valid, _key(k, size, at, length)))
-    return F.array_compact(F.array(*keys))
+                keys.append(_key(k, size, start + shift, length))
+    return F.array(*keys)
 
 
 def near_edges(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +90,9 @@ def near_edges(lines: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHAR
 
     ``lines(h1, h2, size, line)`` should hold each line once; repeats cost work only.
     """
-    long = lines.where(F.col("size") >= near_chars)
+    long = with_bases(lines.where(F.col("size") >= near_chars), edits)
     index = long.select(F.explode(index_keys(edits)).alias("key"), F.col("h1").alias("id"))
-    probe = long.select(F.explode(probe_keys(edits, near_chars)).alias("key"), F.col("h1").alias("id"))
+    probe = long.select(F.explode(probe_keys(edits)).alias("key"), F.col("h1").alias("id"))
     held = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     hits = probe.join(held, "key").where((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")))
     hits = materialise(hits.distinct(), "hits")
@@ -132,11 +135,16 @@ def _blocks(hits: DataFrame, mates: DataFrame, texts: DataFrame, edits: int, buc
         marks = np.array([np.bincount(x & 63, minlength=64) for x in lines], "i4")
         x, y = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         labels = np.arange(len(ids))
-        for i in x.tolist():  # an edit changes the counts by 2 at most
-            near = y[np.abs(marks[y] - marks[i]).sum(axis=1) <= 2 * edits]
-            near = near[labels[near] != labels[i]]
-            good = near[within([lines[i]] * len(near), [lines[j] for j in near.tolist()], edits)]
-            labels = merge_labels(labels, np.full(len(good), i), good)
+        for some in np.array_split(x, max(1, len(x) // 64)):
+            left, right = [], []
+            for i in some.tolist():  # an edit changes the counts by 2 at most
+                near = y[np.abs(marks[y] - marks[i]).sum(axis=1) <= 2 * edits]
+                near = near[labels[near] != labels[i]]
+                left.append(np.full(len(near), i))
+                right.append(near)
+            p, q = np.concatenate(left), np.concatenate(right)
+            good = within([lines[i] for i in p.tolist()], [lines[i] for i in q.tolist()], edits)
+            labels = merge_labels(labels, p[good], q[good])
         out = np.nonzero(labels != np.arange(len(ids)))[0]
         return pa.table({"src": ids[out], "dst": ids[labels[out]]}, pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
 
