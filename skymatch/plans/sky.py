@@ -16,10 +16,15 @@ r6 = lambda c: F.round(c, 6)
 #: Band, bins and tolerance of the pair index.
 LOW, HIGH, BINS, TOLERANCE = 0.01, 0.2, 100, 0.002
 X_FOV = math.radians(58.5)
+#: Stars for which the magnitude limits below are made. Denser skies take brighter guide stars, or pairs and
+#: patterns would grow with the square and the fourth power of the density.
+USUAL = 2000
+_THIN = f"(SELECT least(1e0, {USUAL}e0 / count(*)) FROM part)"
 
 
 def _bright(spark: SparkSession, sf_dir: str, mag: float = 2.0) -> DataFrame:
-    return frame(spark, sf_dir, "stars").where(F.col("mag") <= mag)
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    return frame(spark, sf_dir, "stars").where(F.col("mag") <= mag * min(1.0, USUAL / max(n, 1)))
 
 
 @query(with_tables("stars") + "SELECT star_idx, round(cos(ra) * cos(dec), 6) AS x, round(sin(ra) * cos(dec), 6) AS y, round(sin(dec), 6) AS z FROM stars")
@@ -30,7 +35,7 @@ def star_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("stars") + "SELECT star_idx, cat_id, mag FROM stars WHERE mag <= 4.0")
 def magnitude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bright(spark, sf_dir, 4.0).select("star_idx", "cat_id", "mag")
+    return frame(spark, sf_dir, "stars").where(F.col("mag") <= 4.0).select("star_idx", "cat_id", "mag")
 
 
 _RAW_SQL = """
@@ -75,7 +80,7 @@ def sky_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIST = "2 * asin(sqrt(least(pow(sin((b.dec - a.dec) / 2), 2) + cos(a.dec) * cos(b.dec) * pow(sin((b.ra - a.ra) / 2), 2), 1.0)))"
 _PAIRS = f"""
-    , pairs AS (SELECT i, j, dist FROM (SELECT a.star_idx AS i, b.star_idx AS j, {_DIST} AS dist FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 2.0 AND b.mag <= 2.0) p WHERE dist BETWEEN {LOW} AND {HIGH})
+    , pairs AS (SELECT i, j, dist FROM (SELECT a.star_idx AS i, b.star_idx AS j, {_DIST} AS dist FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 2.0 * {_THIN} AND b.mag <= 2.0 * {_THIN}) p WHERE dist BETWEEN {LOW} AND {HIGH})
     , binned AS (SELECT *, least(CAST(floor((dist - {LOW}) / (({HIGH} - {LOW}) / {BINS})) AS INTEGER), {BINS - 1}) AS bin FROM pairs)
 """
 
@@ -129,10 +134,10 @@ def geometric_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_tables("stars") + f"""SELECT id1, id2, round(greatest(-1.0, least(1.0, cos(d))), 6) AS cos_theta FROM (SELECT a.star_idx AS id1, b.star_idx AS id2, {_DIST} AS d FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 1.5 AND b.mag <= 1.5) p WHERE d <= 0.15"""
+    with_tables("stars") + f"""SELECT id1, id2, round(greatest(-1.0, least(1.0, cos(d))), 6) AS cos_theta FROM (SELECT a.star_idx AS id1, b.star_idx AS id2, {_DIST} AS d FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 1.5 * {_THIN} AND b.mag <= 1.5 * {_THIN}) p WHERE d <= 0.15"""
 )
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kvector.cosine_pairs(frame(spark, sf_dir, "stars"), 0.15, 1.5).withColumn("cos_theta", r6("cos_theta"))
+    return kvector.cosine_pairs(_bright(spark, sf_dir, 1.5), 0.15, 1.5).withColumn("cos_theta", r6("cos_theta"))
 
 
 @query(
@@ -151,7 +156,7 @@ def database_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEP, REACH = 0.10, 0.35
 _CHORD = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 _EDGES = f"""
-    , near AS (SELECT a.star_idx AS i, b.star_idx AS j, {_CHORD} AS chord FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 0.8 AND b.mag <= 0.8 AND {_CHORD} <= {REACH})
+    , near AS (SELECT a.star_idx AS i, b.star_idx AS j, {_CHORD} AS chord FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 0.8 * {_THIN} AND b.mag <= 0.8 * {_THIN} AND {_CHORD} <= {REACH})
     , quads AS (SELECT ab.i AS a, ab.j AS b, bc.j AS c, cd.j AS d FROM near ab JOIN near bc ON bc.i = ab.j JOIN near ac ON ac.i = ab.i AND ac.j = bc.j JOIN near cd ON cd.i = bc.j JOIN near ad ON ad.i = ab.i AND ad.j = cd.j JOIN near bd ON bd.i = ab.j AND bd.j = cd.j)
 """
 _CODES = """
@@ -207,7 +212,7 @@ def pattern_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_tables("stars") + f"""
-    , s AS (SELECT star_idx, x, y, z, row_number() OVER (ORDER BY star_idx) AS k FROM stars WHERE mag <= 2.0)
+    , s AS (SELECT star_idx, x, y, z, row_number() OVER (ORDER BY star_idx) AS k FROM stars WHERE mag <= 2.0 * {_THIN})
     , near AS (SELECT a.k AS i, b.k AS j FROM s a JOIN s b ON a.k < b.k AND {_CHORD} <= {SEP})
     , walk(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
         SELECT w.k + 1, CASE WHEN list_has_any(w.kept, coalesce((SELECT list(i) FROM near WHERE j = w.k + 1), CAST([] AS BIGINT[]))) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM walk w WHERE w.k < (SELECT max(k) FROM s))
