@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -44,10 +44,10 @@ def project_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNDISTORT = "SELECT *, sqrt(pow(x - 160, 2) + pow(y - 120, 2)) / 160 AS r FROM detections"
 
 
-@query(with_tables("detections") + f"SELECT frame_id, det_idx::BIGINT AS det_idx, round((x - 160) * (1 + 0.1e0 * r * r) / 1.1e0 + 160, 6) AS ux, round((y - 120) * (1 + 0.1e0 * r * r) / 1.1e0 + 120, 6) AS uy FROM ({_UNDISTORT}) t")
+@query(with_tables("detections") + f"SELECT frame_id, det_idx::BIGINT AS det_idx, round((x - 160) * ((1 + 0.1e0 * r * r) / 1.1e0) + 160, 4) AS ux, round((y - 120) * ((1 + 0.1e0 * r * r) / 1.1e0) + 120, 4) AS uy FROM ({_UNDISTORT}) t")
 def undistort(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = g.undistort("x", "y", W, H, -0.1)
-    return frame(spark, sf_dir, "detections").select("frame_id", F.col("det_idx").cast("long").alias("det_idx"), r6(x).alias("ux"), r6(y).alias("uy"))
+    return frame(spark, sf_dir, "detections").select("frame_id", F.col("det_idx").cast("long").alias("det_idx"), F.round(x, 4).alias("ux"), F.round(y, 4).alias("uy"))
 
 
 _STEP = "(r - (r * (1 + 0.1e0 * r * r) / 1.1e0 - goal) / ((1 + 0.3e0 * r * r) / 1.1e0)) AS r"
@@ -209,7 +209,7 @@ def focal_distortion_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = frame(spark, sf_dir, "detections")
     r = F.hypot(F.col("x") - 160, F.col("y") - 120) / 160
     rows = d.select("frame_id", r.alias("r")).withColumn("t", (F.col("r") + 0.05 * F.pow("r", F.lit(3))) / 3)
-    sizes = rows.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("t", ) * 0).alias("z"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.pow("r", F.lit(3))).alias("tc"), F.sum(F.pow("r", F.lit(6))).alias("cc"))
+    sizes = rows.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.pow("r", F.lit(3))).alias("tc"), F.sum(F.pow("r", F.lit(6))).alias("cc"))
     good = sizes.where((F.col("n") >= 3) & (F.col("tt") * F.col("cc") - F.col("tc") * F.col("tc") > 1e-6)).select("frame_id")
     fit = attitude.focal_fit(rows.join(good, "frame_id", "left_semi"), ["frame_id"], F.col("t"), F.col("r"))
     return fit.select("frame_id", F.round("focal", 4).alias("focal"), F.round("k", 4).alias("k"))
@@ -238,8 +238,6 @@ def planted(spark: SparkSession, sf_dir: str, spots: int = 14) -> DataFrame:
     near = joins.cones(centres, stars, SKY_FOV * 0.65)
     px, py = g.vector_pixel(g.rotate([F.col(c) for c in attitude.R], g.vec("r")), SKY_W, SKY_H, SKY_FOV)
     seen = near.select("frame_id", "star_idx", F.round(px, 2).alias("x"), F.round(py, 2).alias("y")).where(g.in_frame(F.col("x"), F.col("y"), SKY_W, SKY_H))
-    from pyspark.sql import Window
-
     numbered = seen.withColumn("det_idx", (F.row_number().over(Window.partitionBy("frame_id").orderBy("star_idx")) - 1).cast("long"))
     return numbered.where(F.col("det_idx") < spots)
 
@@ -260,7 +258,7 @@ query()(database_build)
 def plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars, patterns = sky_database(spark, sf_dir)
     detections = planted(spark, sf_dir).select("frame_id", "det_idx", "x", "y")
-    found = solver.solve(detections, stars, patterns, SKY_W, SKY_H, SKY_FOV, math.radians(1.0), match_radius=0.004)
+    found = solver.solve(detections, stars, patterns, SKY_W, SKY_H, SKY_FOV, math.radians(1.0), threshold=1e-5)
     return found.select("frame_id", *[F.round(c, 4).alias(c) for c in ("ra", "dec", "roll", "fov")], F.round("rmse", 1).alias("rmse"), "matches")
 
 
