@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymatch.llm import line_dedup, mixing, packing, quality, simhash
+from skymatch.llm import line_dedup, mixing, overlap, packing, quality
 from skymatch.llm.common import materialise, table
 
 
@@ -21,8 +21,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.keep_one(docs)
+    """Of documents that share 0.8 or more of their 5-word shingles, directly or by steps, one stays."""
+    return overlap.keep_one(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

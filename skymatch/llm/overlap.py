@@ -1,0 +1,150 @@
+"""Near-dedup by exact Jaccard similarity of word shingles.
+
+A document is the set of its shingles (words split at ASCII white space, A-Z
+lower-cased; a text of fewer words is one shingle, an empty one has an empty
+shingle). Documents whose sets have a Jaccard similarity of ``least`` or more
+are linked; components of links are groups.
+
+Prefix filter: in any order of the shingles that holds for all sets, two such
+sets share one of their first n - ceil(least * n) + 1 shingles. The order is that
+of the hashes, with shingles found in many prefixes last. Documents that meet in
+a bucket of a shingle are candidates, verified on whole sets. Small buckets give
+all their pairs. In large ones a centre meets all others in a few rounds, and
+then only documents that are not yet in one component are paired. Nothing is
+approximate but that shingles and sets are told apart by 64 bits of hash.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialise
+from .graph import components
+
+#: Documents of a bucket of pairs, rows in prefixes that make a shingle common, common shingles to put last, rounds with centres.
+BUCKET, COMMON, LAST, CENTRES = 4, 16, 100_000, 3
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of ``text``."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), "u8").view("i8"))
+
+
+def prefix(held: np.ndarray, least: float, last: np.ndarray) -> np.ndarray:
+    """The shingles by which a set must be met; those of the sorted ``last`` come after all others."""
+    if len(last):
+        common = last[np.minimum(np.searchsorted(last, held), len(last) - 1)] == held
+        held = np.concatenate([held[~common], held[common]])
+    return held[: len(held) - math.ceil(least * len(held) - 1e-9) + 1]
+
+
+def _sets(docs: DataFrame, words: int, least: float | None, last: np.ndarray) -> DataFrame:
+    """``(id, node, size, h)``: ``h`` is the prefix, or the whole set without ``least``."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                whole = [shingles(t, words) for t in part.column(1).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in whole], "u8").view("i8")
+                kept = whole if least is None else [prefix(h, least, last) for h in whole]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array([len(h) for h in whole], pa.int32()), pa.array(kept, pa.list_(pa.int64()))], ["id", "node", "size", "h"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, node long, size int, h array<long>")
+
+
+def _met(rows: DataFrame, least: float, centre: int | None) -> DataFrame:
+    """Candidates ``(src, dst)`` of ``rows(t, node, size, c)`` by bucket ``t``: all pairs of different ``c``, or those with a centre."""
+    rows = rows.withColumn("o", F.xxhash64("node", F.lit(centre or 0)))
+    lists = rows.groupBy("t").agg(F.collect_list(F.struct("o", "node", "size", "c")).alias("m")).where(F.size("m") > 1).select("m")
+
+    def run(batches):
+        for batch in batches:
+            for m in batch.column(0):
+                o, node, size, c = (np.asarray(x) for x in m.values.flatten())
+                done = []
+                for x in [int(o.argmin())] if centre is not None else range(len(node)):
+                    other = (c != c[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]) - 1e-9)
+                    if centre is None:
+                        other[: x + 1] = False
+                    y = node[other]
+                    done.append(np.stack([np.minimum(y, node[x]), np.maximum(y, node[x])]))
+                a, b = np.concatenate(done, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    return lists.mapInArrow(run, "src long, dst long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``pairs`` whose whole sets are similar enough."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
+    some = _sets(docs.join(ids, "doc_id", "left_semi"), words, None, np.array([], "i8"))
+    held = materialise(some.select("node", "h").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
+    side = lambda c, h: held.select(F.col("node").alias(c), F.col("h").alias(h))
+    both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    return materialise(both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"), "similar")
+
+
+def groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``(id, component)`` for each row; ``component`` is the smallest id reachable by links. Ids must not be null."""
+    last = np.array([], "i8")
+    for again in (False, True):
+        marks = materialise(_sets(docs, words, least, last), "prefixes")
+        reps = materialise(marks.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("h").alias("h")), "nodes")
+        rows = reps.select(F.explode("h").alias("t"), "node", "size")
+        sizes = materialise(rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        if again:
+            break
+        common = sizes.where(F.col("n") > COMMON).orderBy(F.desc("n"), "t").limit(LAST).collect()
+        if not common:
+            break
+        last = np.sort(np.array([r["t"] for r in common], "i8"))
+    met = materialise(rows.join(sizes, "t"), "met")
+    alone = met.withColumn("c", F.col("node"))
+    pairs = _met(alone.where(F.col("n") <= BUCKET), least, None).unionByName(_met(alone.where(F.col("n") > BUCKET), least, 0)).distinct()
+    edges = _verified(materialise(pairs, "candidates"), docs, reps, words, least)
+    of = materialise(components(edges), "components")
+    large = met.where(F.col("n") > BUCKET).select("t", "node", "size")
+    for k in range(1, CENTRES + 1):
+        now = large.join(of, "node", "left").select("t", "node", "size", F.coalesce("component", "node").alias("c"))
+        open_ = now.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("t")
+        pairs = materialise(_met(now.join(open_, "t", "left_semi"), least, k if k < CENTRES else None), "candidates")
+        if not pairs.limit(1).count():
+            continue
+        edges = edges.unionByName(_verified(pairs, docs, reps, words, least))
+        of = materialise(components(edges), "components")
+    labelled = reps.join(of, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    return marks.select("id", "node").join(labelled.join(first, "label").select("node", "component"), "node").select("id", "component")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One document of each group: the row of the smallest id; of rows that share it, that of the smallest text.
+
+    Rows without an id are kept, for no other row can name them.
+    """
+    found = groups(docs.where("doc_id is not null"), words, least)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    return one.unionByName(docs.where("doc_id is null"))

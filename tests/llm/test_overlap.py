@@ -1,0 +1,72 @@
+import random
+
+import corpus_pipeline
+import pytest
+from skymatch.llm import overlap
+
+
+def sets(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+def brute(rows):
+    held = [(i, sets(t)) for i, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = held[a][1], held[b][1]
+            if label[a] != label[b] and 5 * len(x & y) >= 4 * len(x | y):
+                old, new = label[a], label[b]
+                label = [new if v == old else v for v in label]
+    least = {}
+    for v, (i, _) in zip(label, rows, strict=True):
+        least[v] = min(least.get(v, i), i)
+    return {i: least[v] for v, (i, _) in zip(label, rows, strict=True)}
+
+
+def corpus(seed):
+    """Texts with copies at similarities about 0.6 to 1, one large group of them, and a passage that many share."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(3000)}"
+    passage = [word() for _ in range(40)]
+    rows = [(k, [word() for _ in range(r.choice([3, 6, 20, 60, 150]))] + (passage if k % 3 == 0 else [])) for k in range(60)]
+    for k in range(180):
+        text = list(r.choice(rows)[1]) if k % 2 else list(rows[4][1] + rows[7][1])
+        for _ in range(r.randint(0, 4)):
+            text[r.randrange(len(text))] = word()
+        rows.append((100 + k, text))
+    return [(i, " ".join(t)) for i, t in rows]
+
+
+@pytest.mark.parametrize("common", [3, 16])
+def test_groups_equal_all_pairs(spark, make, monkeypatch, common):
+    monkeypatch.setattr(overlap, "COMMON", common)
+    rows = corpus(common)
+    want = brute(rows)
+    assert len(set(want.values())) < 0.9 * len(rows)
+    assert dict(map(tuple, overlap.groups(make(rows)).collect())) == want
+
+
+def test_stage_drops_planted_copies_and_leaves_others(spark, make):
+    r = random.Random(5)
+    rows, copies = [], set()
+    for k in range(40):
+        text = [f"w{r.randrange(5000)}" for _ in range(204)]
+        rows.append((k, " ".join(text)))
+        for j, n in enumerate((1, 2, 3, 4, 6)):  # changed words: similarity 0.95 down to 0.74
+            other = list(text)
+            for x in range(n):
+                other[20 + 30 * x] = f"new{k} {j}".replace(" ", "x") + str(x)
+            i = 1000 + 10 * k + j
+            rows.append((i, " ".join(other)))
+            if 5 * len(sets(rows[-1][1]) & sets(" ".join(text))) >= 4 * len(sets(rows[-1][1]) | sets(" ".join(text))):
+                copies.add(i)
+    assert len(copies) == 160
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, make(rows), "").collect()}
+    assert kept == {i for i, _ in rows} - copies == {i for i, c in brute(rows).items() if i == c}
+
+
+def test_odd_rows(spark, odd, make):
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in overlap.keep_one(odd).collect()) == [(False, 1), (False, 2), (False, 5), (True, None)]
+    assert overlap.groups(make([])).count() == 0
