@@ -5,11 +5,13 @@
    ('en:1'); a document may belong to several in part.
 2. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum of r * tokens * chance, meet the targets in the least-squares sense,
-   staying near 1 otherwise. Projected-gradient steps run over the whole table:
-   each is one aggregate of as many sums as domains, and a document's rate is a
-   fold over the gradients so far, so no state is kept by document.
+   staying near 1 otherwise. At the optimum a document's rate is its chances
+   times one multiplier per domain, taken from 1 and cut at the least rate, so
+   no state is kept by document. Newton steps on the multipliers solve the small
+   domain-by-domain equations; each is one aggregate over the whole table. Targets
+   that no rates reach, and a fit that has not settled, are warned of.
 
-The driver holds the model and one number per domain and step.
+The driver holds the model and a matrix of domains by domains.
 
 Defined results: null and empty texts have no tokens, so their rate does not
 matter to the fit and follows their chances; without labelled rows there is one
@@ -20,7 +22,8 @@ no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +102,19 @@ class Fit:
     reached: list[float]
     gradients: list[list[float]]
     rate: Column
+    multipliers: list[float] = field(default_factory=list)
 
+    def residuals(self) -> dict[str, float]:
+        """By domain, how far the reached tokens are from the target, as a share of the target (of one token at least)."""
+        return {n: (r - t) / max(1.0, t) for n, r, t in zip(self.names, self.reached, self.targets, strict=True)}
 
-def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | None, total: float | None = None, least: float = 0.0, penalty: float = 0.01, rounds: int = 12, close: float = 1e-3) -> Fit:
+
+def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | None, total: float | None = None, least: float = 0.0, penalty: float = 0.01, rounds: int | None = None, close: float = 1e-3) -> Fit:
     """Fit rates over ``rows(n_tokens, chances)``; ``targets`` are weights, scaled to ``total`` tokens.
 
+    The fit runs until it has converged. With ``rounds`` given it takes that
+    many projected-gradient steps with ``penalty`` instead, met or not.
+
     None weighs the domains by the square root of their tokens. With ``least``
     over 0 no rate falls below it and, unless ``total`` is given, the total is
     what lets every domain reach its target by repetition.
@@ -115,6 +126,8 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | Non
     if total is None:
         total = now if least <= 0 else max([now, *(least * h / a for h, a in zip(held, aim, strict=True) if a > 0 and h > 0)])
     aim = aim * total
+    if rounds is None:
+        return _converged(rows, names, held, aim, least, close)
     worth = np.maximum(held, 1e-3 * now)  # errors are relative to a domain's own tokens
     gradients: list[list[float]] = []
     reached = held
@@ -127,6 +140,58 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | Non
     return Fit(names, aim.tolist(), reached.tolist(), gradients, rate(gradients, 1.0, penalty, least))
 
 
+def _converged(rows: DataFrame, names: list[str], held: np.ndarray, aim: np.ndarray, least: float, close: float, ridge: float = 1e-6, steps: int = 60) -> Fit:
+    """The rates nearest to 1 (by tokens) that meet ``aim``; ``ridge`` weighs nearness against errors.
+
+    Minimises the dual function, which is convex and piecewise quadratic, by
+    Newton steps that are halved until it falls.
+    """
+    k = len(names)
+    worth = np.maximum(held, 1.0)
+    at = np.zeros(k)
+
+    def look(m: np.ndarray):
+        """Dual value, tokens reached, and curvature at multipliers ``m``."""
+        u = sum((F.get("chances", i) * F.lit(float(v)) for i, v in enumerate(m)), F.lit(0.0))
+        seen = rows.select("n_tokens", "chances", u.alias("u"))
+        free, n = F.col("u") < 1.0 - least, F.col("n_tokens")
+        value = F.when(free, F.col("u") * F.col("u") / 2 - F.col("u")).otherwise(-(1.0 - least * least) / 2 - F.lit(least) * (F.col("u") - F.lit(1.0 - least)))
+        r = F.greatest(F.lit(float(least)), 1.0 - F.col("u"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.sum(n * value), *[F.sum(n * r * F.get("chances", i)) for i in range(k)], *[F.sum(F.when(free, n * F.get("chances", i) * F.get("chances", j)).otherwise(0.0)) for i, j in pairs]]
+        row = [x or 0.0 for x in seen.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return row[0] + aim @ m + ridge / 2 * (worth * m * m).sum(), np.array(row[1 : k + 1]), curve
+
+    value, reached, curve = look(at)
+    settled = False
+    for _ in range(steps):
+        slope = aim - reached + ridge * worth * at
+        settled = bool((np.abs(slope) <= 0.1 * close * np.maximum(1.0, aim)).all())
+        if settled:
+            break
+        root = np.sqrt(worth)  # domains of all sizes alike
+        move = -np.linalg.solve((curve / np.outer(root, root)) + ridge * np.eye(k), slope / root) / root
+        size = 1.0
+        while size > 1e-6:
+            found = look(at + size * move)
+            if found[0] <= value + 1e-4 * size * (slope @ move):
+                break
+            size /= 2
+        else:
+            break
+        at = at + size * move
+        value, reached, curve = found
+    u = sum((F.get("chances", i) * F.lit(float(v)) for i, v in enumerate(at)), F.lit(0.0))
+    fit = Fit(names, aim.tolist(), reached.tolist(), [], F.greatest(F.lit(float(least)), F.lit(1.0) - u), at.tolist())
+    far = {n: round(x, 4) for n, x in fit.residuals().items() if abs(x) > close}
+    if far or not settled:
+        warnings.warn(f"mixing: {'the fit has not settled; ' * (not settled)}shares of the targets that are over or missing: {far}", stacklevel=3)
+    return fit
+
+
 def _sums(rows: DataFrame, r: Column, k: int) -> list[float]:
     rated = rows.select("n_tokens", "chances", r.alias("r"))
     row = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.get("chances", i)).alias(f"s{i}") for i in range(k)]).first()
