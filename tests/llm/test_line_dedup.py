@@ -74,3 +74,22 @@ def test_clean_and_odd_rows(spark, odd, make):
     assert got == sorted([(1, "own words", 9), (2, "short", 5), (2, "short", 5), (3, "short", 5), (4, None, None), (None, line, 1)], key=repr)
     assert line_dedup.clean(odd).columns == odd.columns and line_dedup.clean(odd).count() == odd.count()
     assert line_dedup.report(make([])).count() == 0
+
+
+def test_long_lines_and_repeated_rows_in_large_buckets(make, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 2000)  # blocks of one long line, or of some short ones
+    monkeypatch.setattr(line_dedup, "PAIR_CHARS", 500)
+    rows = [(d, t + "\n" + "long " * 600 + f"end {d % 5}") for d, t in sample(11, 30, 2)]
+    repeated = rows + [rows[3]] * 50 + [rows[7]] * 20
+    for bucket in (1, 4):
+        got = {r["doc_id"]: r["dropped"] for r in line_dedup.report(make(repeated), bucket=bucket).collect()}
+        assert got == slow(rows)
+
+
+def test_clashing_columns_stay(spark, make):
+    line = "this line is long enough to be seen again"
+    names = ["dropped", "n_near", "first_doc", "row", "_id", "_th", "text_hash", "whole", "lines", "th", "pos", "line"]
+    docs = spark.createDataFrame([(k, line, *range(len(names))) for k in (1, 2)], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    got = sorted(map(tuple, line_dedup.clean(docs).collect()))
+    assert got == [(1, line, *range(len(names))), (2, "", *range(len(names)))]
+    assert line_dedup.clean(docs).columns == docs.columns
