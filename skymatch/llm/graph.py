@@ -28,25 +28,41 @@ def merge_labels(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray
     return labels
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def merge_forest(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after linking ``x[i]`` with ``y[i]``, and the positions ``i`` of links that form a forest joining the same."""
+    open_, picked = np.arange(len(x)), [np.zeros(0, "i8")]
+    while len(open_):
+        a, b = labels[x[open_]], labels[y[open_]]
+        differ = a != b
+        open_, high, low = open_[differ], np.maximum(a, b)[differ], np.minimum(a, b)[differ]
+        if not len(open_):
+            break
+        roots, first = np.unique(high, return_index=True)  # each root takes one link to a smaller one
+        picked.append(open_[first])
+        parent = np.arange(len(labels))
+        parent[roots] = low[first]
+        while not ((up := parent[parent]) == parent).all():
+            parent = up
+        labels = parent[labels]
+    return labels, np.concatenate(picked)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``, with the smallest node as component.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014). Each
     is an aggregate with map-side combine and a join, so a hub of any degree is
     one row per task; nothing is gathered. Loops and repeated edges are allowed,
-    edges with a null end are dropped, and no edges give no rows.
+    edges with a null end are dropped, and no edges give no rows. The rounds go on
+    until nothing changes; their number grows with the logarithm of the longest path.
     """
     now = materialise(_directed(edges.select("src", "dst")), "edges")
     seen = _digest(now)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         now = materialise(_small_star(_large_star(now)), "edges")
         was, seen = seen, _digest(now)
         if seen == was:
             break
-    else:
-        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
 

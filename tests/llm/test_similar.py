@@ -1,8 +1,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from skymatch.llm import overlap
+from skymatch.llm import simhash
 
 
 def sets(text):
@@ -39,13 +40,29 @@ def corpus(seed):
     return [(i, " ".join(t)) for i, t in rows]
 
 
-@pytest.mark.parametrize("common", [3, 16])
-def test_groups_equal_all_pairs(spark, make, monkeypatch, common):
-    monkeypatch.setattr(overlap, "COMMON", common)
-    rows = corpus(common)
+@pytest.mark.parametrize(("tile_rows", "block"), [(20, 300), (10_000, 1_000_000)])
+def test_groups_equal_all_pairs(spark, make, tile_rows, block):
+    rows = corpus(tile_rows)
     want = brute(rows)
     assert len(set(want.values())) < 0.9 * len(rows)
-    assert dict(map(tuple, overlap.groups(make(rows)).collect())) == want
+    got = simhash.similar_groups(make(rows), tile_rows=tile_rows, block=block).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+
+
+def test_sets_at_the_border_differ_within_the_radius():
+    """Bits in which sets at a similarity of 0.8 differ, against the radius, for set sizes from the smallest on."""
+    r = np.random.default_rng(1)
+    for n in (5, 6, 7, 9, 10, 15, 40, 300):
+        far = []
+        for _ in range(400):
+            own = r.integers(0, 1 << 63, n, dtype="u8")
+            m = n // 5 if n < 9 else n // 9  # left out, or exchanged
+            other = own[m:] if n < 9 else np.concatenate([own[m:], r.integers(0, 1 << 63, m, dtype="u8")])
+            d = np.bitwise_count(simhash.wide_fingerprint(own) ^ simhash.wide_fingerprint(other))
+            far.append((int(d[:2].sum()), int(d.sum())))
+        mean, spread = np.mean(far, axis=0), np.std(far, axis=0)
+        reach = simhash.SHORT_RADIUS if n - m < simhash.SHORT else simhash.RADIUS
+        assert (mean + 4.5 * spread < np.array(reach)).all(), n
 
 
 def test_stage_drops_planted_copies_and_leaves_others(spark, make):
@@ -68,5 +85,17 @@ def test_stage_drops_planted_copies_and_leaves_others(spark, make):
 
 
 def test_odd_rows(spark, odd, make):
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in overlap.keep_one(odd).collect()) == [(False, 1), (False, 2), (False, 5), (True, None)]
-    assert overlap.groups(make([])).count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.keep_one(odd).collect()) == [(False, 1), (False, 2), (False, 5), (True, None)]
+    assert simhash.keep_one(odd).columns == odd.columns
+    assert simhash.similar_groups(make([])).count() == 0 and simhash.keep_one(make([])).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    a, b, c = "one two three four five six", "another text that is quite unlike", "the third of them all is here"
+    names = ["row", "th", "_id", "_th", "id", "n", "first", "_row", "n1"]
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (9, None), (8, "")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, a), (5, b), (None, c), (8, "")], key=repr)
+    assert [tuple(r)[2:] for r in got.collect()] == [tuple(range(len(names)))] * 4
