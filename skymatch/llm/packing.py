@@ -15,7 +15,8 @@ table of partitions x queues rows, give queue offsets; (3) a second pass cuts
 the documents at window and sequence borders.
 
 Only the totals by queue reach the driver, so the number of distinct sources
-must be moderate (up to tens of thousands). A hot source needs no care: its
+must be moderate (up to tens of thousands). Ids are kept in 16 bits where the
+vocabulary allows it, else in 32. A hot source needs no care: its
 rows stay in the partitions they were read in.
 
 Defined results: a null text is empty and packs as the end id alone; a null
@@ -25,6 +26,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -39,18 +41,31 @@ from .common import materialise, small
 SCALE = 1 << 20
 #: Words whose ids a worker remembers; later words are encoded anew.
 CACHE = 400_000
+#: Characters of the longest part that is remembered.
+KEPT = 128
+#: Entries of the tables of tokens served by window and queue that are held at once.
+CELLS = 4_000_000
 #: Characters whose classes all tokenizer libraries agree on: Latin letters and the signs beside them.
 PLAIN = 0x250
 
+#: A space that is no part of a run of white space.
+LONE = re.compile(r"(?<=\S) (?=\S)")
+
 _made: dict[str, Words] = {}
 
 
+class Run(Exception):
+    """A space touches other white space."""
+
+
 class Words(dict):
-    """From ' word' to its ids as 16-bit bytes; what is missing is encoded and, while there is room, kept.
+    """From ' word' to its ids as bytes; what is missing is encoded and, while there is room, kept.
 
-    A byte-level BPE of this family never merges over the space before a word,
-    so a text without double spaces is the concatenation of its ' word' parts.
-    Other texts, and parts with unusual characters, go to the tokenizer whole.
+    The pattern of this family of byte-level BPE cuts before every space that
+    has something other than white space on both sides, and nothing merges over a
+    cut, so a text is the concatenation of its parts between such spaces. A part
+    with unusual characters goes to the tokenizer itself, a text with special
+    strings does so whole. Python knows every white space that the pattern knows.
     """
 
     def __init__(self, name: str):
@@ -63,32 +78,45 @@ class Words(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         ranks = Path(name).with_suffix(".tiktoken") if "/" in name else Path(public_tokenizers.path(name)).with_suffix(".tiktoken")
         if ranks.exists():  # the same vocabulary, several times as fast on single words
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             self.quick = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         else:
             self.quick = None
+        self.runs: dict[str, bytes] = {}  # parts that hold runs of white space
 
     def slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
+    def part(self, part: str, kept: dict[str, bytes]) -> bytes:
         if self.quick is not None and (part.isascii() or max(map(ord, part)) < PLAIN):
-            ids = np.array(self.quick(part), "<u2").tobytes()
+            ids = np.array(self.quick(part), self.kind).tobytes()
         else:
             ids = self.slow(part)
-        if len(self) < CACHE:
-            self[part] = ids
+        if len(part) <= KEPT and len(kept) < CACHE:
+            kept[part] = ids
         return ids
 
+    def __missing__(self, part: str) -> bytes:
+        word = part[1:] if part[:1] == " " else part
+        if part and (not word or word[-1].isspace() or (word[0].isspace() and word is not part)):
+            raise Run
+        return self.part(part, self)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or "<|" in text:
+        if "<|" in text:
             return self.slow(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[w] for w in map(" ".__add__, rest)])
+        try:
+            first, *rest = text.split(" ")
+            return self[first] + b"".join([self[w] for w in map(" ".__add__, rest)])
+        except Run:
+            first, *rest = LONE.split(text)
+            held = self.runs
+            return b"".join([held[w] if w in held else self.part(w, held) for w in [first, *map(" ".__add__, rest)]])
 
 
 def words_of(name: str) -> Words:
@@ -104,10 +132,10 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches):
         part = TaskContext.get().partitionId()
         words, served = words_of(tokenizer), {}
-        end = np.array([end_id], "<u2").tobytes()
+        end, width = np.array([end_id], words.kind).tobytes(), int(words.kind[-1])
         for batch in batches:
             ids = [words.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            sizes, before = [len(x) // 2 for x in ids], []
+            sizes, before = [len(x) // width for x in ids], []
             for queue, n in zip(batch.column(2).to_pylist(), sizes, strict=True):
                 before.append(served.get(queue, 0))
                 served[queue] = before[-1] + n
@@ -165,8 +193,9 @@ class Plan:
             times = last - first + 1
             row, k, base = np.repeat(rows, times), np.repeat(k, times), np.repeat(base, times)
             w = np.repeat(first, times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            for c in range(0, len(row), 100_000):
-                s = slice(c, c + 100_000)
+            rows_at_once = max(1, CELLS // len(self.names))
+            for c in range(0, len(row), rows_at_once):
+                s = slice(c, c + rows_at_once)
                 at, then = self.given(p, w[s]), self.given(p, w[s] + 1)
                 ahead = np.cumsum(then - at, axis=1)
                 n = np.arange(len(at))
@@ -215,7 +244,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", targets: dict[st
                 part = batch.slice(c, 2000)
                 n, a = part.column(2).to_numpy(), part.column(4).to_numpy()
                 queue = np.array([number[q] for q in part.column(1).to_pylist()], "i8")
-                ids = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4") for x in part.column(3)]
+                held = [x.as_buffer() for x in part.column(3)]
+                ids = [np.frombuffer(x, f"<u{x.size // m}").astype("<u4") for x, m in zip(held, n.tolist(), strict=True)]
                 row, start, length, place = plan.cut(queue, a, a + n, size)
                 held = [ids[r][s : s + m].tobytes() for r, s, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
                 where = pa.array(row)

@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 from collections import defaultdict
 
@@ -40,6 +42,30 @@ def test_words_equal_the_tokenizer(text):
     assert np.frombuffer(packing.words_of(NAME).encode(text), "<u2").tolist() == whole
 
 
+def test_white_space_in_all_arrangements_equals_the_tokenizer():
+    signs = " \n\t\r\xa0\u3000\u2003x"
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product(signs, repeat=n)]
+    texts += [f"a{t}b" for t in texts if len(t) < 5]
+    r = random.Random(3)
+    bits = [" ", " ", " ", "  ", "\xa0", "\n", "\x85", "\x1c", "\u200b", "\ufeff", "\u0301", "it's", "Ab", "é", "ſ", "9", "12", "..", "日本", "ö", "€", "'ll", "_", "\u202f"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(30_000)]
+    words = packing.Words(NAME)
+    for k in range(0, len(texts), 20_000):
+        some = texts[k : k + 20_000]
+        for text, want in zip(some, words.whole.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(words.encode(text), words.kind).tolist() == want.ids, repr(text)
+
+
+def test_wide_vocabularies_keep_32_bits():
+    class Wide(packing.Words):
+        def __init__(self, name):
+            super().__init__(name)
+            self.kind = "<u4"
+
+    wide = Wide(NAME)
+    assert np.frombuffer(wide.encode("some  words"), "<u4").tolist() == np.frombuffer(packing.words_of(NAME).encode("some  words"), "<u2").tolist()
+
+
 def test_pieces_rebuild_every_document(odd, make):
     whole = Tokenizer.from_file(public_tokenizers.path(NAME))
     got = packing.pack(odd, NAME, with_ids=True, size=256).collect()
