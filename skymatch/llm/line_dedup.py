@@ -65,27 +65,21 @@ def _lines(docs: DataFrame, min_chars: int, near_chars: int, edits: int) -> Data
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     rows = split.where(F.octet_length("line") >= min_chars).withColumn("line", _trimmed()).withColumn("size", F.char_length("line")).where(F.col("size") >= min_chars)
     near = lambda keys: F.when(F.col("size") >= near_chars, keys)
-    return with_bases(rows, edits).select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "size", near(index_keys(edits)).alias("index"), near(probe_keys(edits)).alias("probes"))
+    return with_cuts(rows, edits).select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "size", near(index_keys(edits)).alias("index"), near(probe_keys(edits)).alias("probes"))
 
 
-def _segment(k: int, size: Column, base: Column, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``k`` of a line: edits + 1 even parts of ``base`` characters, the last ones one longer."""
-    short = F.lit(edits + 1) - (size - base * (edits + 1))  # so many parts are not longer
-    return base * k + F.greatest(F.lit(0), F.lit(k) - short), base + (F.lit(k) >= short).cast("int")
+def with_cuts(lines: DataFrame, edits: int) -> DataFrame:
+    """Add ``_c{less}_{k}``, the starts of the even segments of lines that are 0 to ``edits`` shorter, each computed once."""
+    return lines.withColumns({f"_c{less}_{k}": F.expr(f"cast((size - {less}) * {k} div {edits + 1} as int)") for less in range(edits + 1) for k in range(edits + 2)})
 
 
-def _key(k: int, size: Column, start: Column, length: Column) -> Column:
-    return F.xxhash64(F.lit(k), size, F.substr("line", start + 1, length))
-
-
-def with_bases(lines: DataFrame, edits: int) -> DataFrame:
-    """Add the part lengths of lines that are 0 to ``edits`` shorter, so that each is computed once."""
-    return lines.withColumns({f"_b{less}": F.expr(f"cast((size - {less}) div {edits + 1} as int)") for less in range(edits + 1)})
+def _key(k: int, less: int, shift: int) -> Column:
+    start, end = F.col(f"_c{less}_{k}"), F.col(f"_c{less}_{k + 1}")
+    return F.xxhash64(F.lit(k), F.col("size") - less, F.substr("line", start + (shift + 1), end - start))
 
 
 def index_keys(edits: int) -> Column:
-    size = F.col("size")
-    return F.array(*[_key(k, size, *_segment(k, size, F.col("_b0"), edits)) for k in range(edits + 1)])
+    return F.array(*[_key(k, 0, 0) for k in range(edits + 1)])
 
 
 def probe_keys(edits: int) -> Column:
@@ -93,15 +87,8 @@ def probe_keys(edits: int) -> Column:
 
     The windows lie inside every line that is long enough to be indexed.
     """
-    keys = []
-    for less in range(edits + 1):
-        size = F.col("size") - less
-        for k in range(edits + 1):
-            start, length = _segment(k, size, F.col(f"_b{less}"), edits)
-            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                if less or shift:
-                    keys.append(_key(k, size, start + shift, length))
-    return F.array(*keys)
+    shifts = lambda k, less: range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)
+    return F.array(*[_key(k, less, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in shifts(k, less) if less or shift])
 
 
 def near_edges(docs: DataFrame, once: DataFrame, edits: int = EDITS, bucket: int = BUCKET) -> DataFrame:
@@ -202,7 +189,7 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CH
     long = lines.where("index is not null")
     fresh = long.join(small(again, n_again), ["h1", "h2"], "left_anti")
     firsts = long.join(small(first, n_again), ["h1", "h2"]).where(F.col("first").eqNullSafe(place)).drop("first").dropDuplicates(["h1", "h2"])
-    once = fresh.unionByName(firsts)
+    once = fresh.unionByName(materialise(firsts, "again"))
     if n_again > BROADCAST_ROWS:
         once = materialise(once, "once")
     linked = materialise(components(near_edges(docs, once, edits, bucket)).select("node.h1", "node.h2", "component"), "classes")
