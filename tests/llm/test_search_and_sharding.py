@@ -45,9 +45,48 @@ def test_stored_graph_searches_alike():
     x = np.random.default_rng(0).standard_normal((300, 8))
     g = hnsw.Graph(x)
     h = hnsw.Graph.stored(x, g.arrays())
-    for q in x[:20]:
-        assert g.nearest(q.astype("f4"), 5).tolist() == h.nearest(q.astype("f4"), 5).tolist()
-        assert g.nearest(q.astype("f4"), 5)[0] == np.argmin(((x - q) ** 2).sum(axis=1))
+    for q, a, b in zip(x[:20], g.nearest(x[:20], 5), h.nearest(x[:20], 5), strict=True):
+        assert a.tolist() == b.tolist() and a[0] == np.argmax(x @ q)
+
+
+def recall(x, n_queries=60, k=20):
+    g = hnsw.Graph(x)
+    found = g.nearest(x[:n_queries], k)
+    return np.mean([len(set(f[:k].tolist()) & set(np.argsort(-(x @ q), kind="stable")[:k].tolist())) / k for f, q in zip(found, x, strict=False)])
+
+
+def test_recall_with_unlike_norms():
+    r = np.random.default_rng(4)
+    unit = r.standard_normal((1500, 24))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one = unit.copy()
+    one[700] *= 1e4
+    clusters = r.standard_normal((40, 24))[r.integers(0, 40, 1500)] + 0.05 * r.standard_normal((1500, 24))
+    for x in (unit, one, unit * 10 ** r.uniform(0, 4, 1500)[:, None], unit * np.where(r.random(1500) < 0.1, 1e4, 1.0)[:, None], clusters, clusters * 10 ** r.uniform(0, 4, 1500)[:, None]):
+        assert recall(x) >= 0.9
+
+
+def test_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((120, 8)).astype("f4").astype("f8")
+    rows = [(i, x[i]) for i in range(80)] + [(0, x[0])] * 30 + [(20, x[20])] * 3 + [(0, v) for v in x[80:]] + [(200 + i, x[5]) for i in range(30)] * 2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for row in hnsw.search(table, F.col("id") % 20 == 0, shard_rows=40, piece=3).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    ids, v = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = total = 0
+    for q in (0, 20, 40, 60, 200, 220):
+        best = {}
+        for i, s in zip(ids.tolist(), (v @ v[ids == q].T).max(axis=1).tolist(), strict=True):
+            best[i] = max(s, best.get(i, s))
+        best.pop(q)
+        want = sorted(best.items(), key=lambda e: (-round(e[1], 9), e[0]))[:20]
+        mine = sorted(got[q])
+        assert [k for k, *_ in mine] == list(range(1, 21)) and len({i for _, i, _ in mine}) == 20
+        assert all(abs(best[i] - s) < 1e-9 for _, i, s in mine)
+        hits, total = hits + len({i for _, i, _ in mine} & {i for i, _ in want}), total + 20
+    assert hits / total >= 0.95
 
 
 def test_shards_are_even_and_groups_stay_together(spark, odd, make):
