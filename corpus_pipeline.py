@@ -1,4 +1,11 @@
-"""A corpus pipeline: every stage works on all that its predecessor kept."""
+"""A corpus pipeline: every stage works on all that its predecessor kept.
+
+Defined results, in every stage: a null text is an empty one; a null id is an id
+like any other, but that nothing is learned from its rows; rows that repeat id and
+text are one document for the dedup stages, which keep one, and rows of their own for
+the others; of equal ids with different texts each is a document; an empty table
+gives no rows; other columns, of any name, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +19,7 @@ from skymatch.llm.common import materialise, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    return quality.accepted(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +28,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 or more of their 5-word shingles, directly or by steps, one stays."""
+    """Of documents whose sets of 5-word shingles have a similarity of 0.8 or more, directly or by steps, one stays."""
     return simhash.keep_one(docs)
 
 

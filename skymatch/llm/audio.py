@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +149,8 @@ def describe(media: DataFrame) -> DataFrame:
     """Figures, tensors and spans of ``(doc_id, n_bytes, media)``, from the stored bytes.
 
     ``tensor`` holds SLOTS x MELS values by row, the storage of an Arrow tensor
-    of that fixed shape; ``spans`` are (start_s, end_s).
+    of that fixed shape, which the column's metadata name and `tensors` restores;
+    ``spans`` are (start_s, end_s).
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensor", "spans"]
@@ -170,7 +172,17 @@ def describe(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes(raw), sha(raw), tail, sizes(stored), sha(stored), tensor, spans], names)
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensor array<float>, spans array<struct<start_s:double,end_s:double>>"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    found = media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return found.withMetadata("tensor", {"shape": [SLOTS, MELS]})
+
+
+def tensors(column: pa.ChunkedArray) -> pa.FixedShapeTensorArray:
+    """The column ``tensor`` of a described table (``toArrow()``, or read from Parquet) as an Arrow array of tensors of fixed shape."""
+    held = column.combine_chunks()
+    if len(held) and set(pa.compute.list_value_length(held).unique().to_pylist()) != {SLOTS * MELS}:
+        raise ValueError(f"not tensors of shape {SLOTS} x {MELS}")
+    storage = pa.FixedSizeListArray.from_arrays(held.flatten(), SLOTS * MELS)
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [SLOTS, MELS]), storage)
 
 
 def feature_digest(described: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ The driver holds the model and a matrix of domains by domains.
 Defined results: null and empty texts have no tokens, so their rate does not
 matter to the fit and follows their chances; without labelled rows there is one
 domain, '*'; targets for unknown domains are ignored; a domain without a target
-aims at none of the tokens; repeated rows are rated alike; an empty table gives
-no rows.
+aims at none of the tokens; an id with several quality labels counts for each, and
+of several documents under a labelled id the smallest is learned from; rows that
+repeat id and text are rated and rounded alike; null ids are rated like others; an
+empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -51,9 +53,10 @@ class Domains:
 
 def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Domains:
     """Learn domains from the documents that ``labels(doc_id, quality)`` lists."""
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    joined = docs.select("doc_id", "text", F.coalesce("lang", F.lit("?")).alias("lang")).join(F.broadcast(chosen), "doc_id")
+    joined = docs.select("doc_id", F.struct("text", F.coalesce("lang", F.lit("?")).alias("lang")).alias("d")).join(F.broadcast(chosen), "doc_id")
+    joined = joined.groupBy("doc_id", "quality").agg(F.min("d").alias("d")).select("d.text", "d.lang", "quality")
 
     def run(batches):
         for batch in batches:
@@ -199,25 +202,29 @@ def _sums(rows: DataFrame, r: Column, k: int) -> list[float]:
 
 
 def copies(r: Column, key: Column) -> Column:
-    """How often a document is taken: its rate, rounded up or down by a hash of its key, right on average."""
+    """How often a document is taken: its rate, rounded up or down by a hash of its key (a hash of id and text), right on average."""
     share = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(r + share).cast("int")
 
 
+def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(*columns, "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """``docs`` with every row repeated (or left out) by its rate. Columns stay as they are."""
     model = fit_domains(docs, labels)
-    rows = materialise(with_posteriors(docs, model, docs.columns), "posteriors")
+    rows = materialise(with_posteriors(_keyed(docs, F.struct("*").alias("row")), model, ["row", "key"]), "posteriors")
     fit = fit_rates(rows, model.names, targets, least=least)
-    taken = rows.withColumn("_times", copies(fit.rate, F.col("doc_id"))).where("_times > 0")
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    taken = rows.select("row", copies(fit.rate, F.col("key")).alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``(doc_id, n_tokens, domain, chance, rate, copies)`` for every document."""
     model = fit_domains(docs, labels)
-    rows = materialise(with_posteriors(docs, model, ["doc_id"]), "posteriors")
+    rows = materialise(with_posteriors(_keyed(docs, F.col("doc_id")), model, ["doc_id", "key"]), "posteriors")
     fit = fit_rates(rows, model.names, targets)
     best = F.array_position("chances", F.array_max("chances")).cast("int") - 1
     named = F.get(F.array(*[F.lit(n) for n in fit.names]), best)
-    return rows.select("doc_id", "n_tokens", named.alias("domain"), F.array_max("chances").alias("chance"), fit.rate.alias("rate"), copies(fit.rate, F.col("doc_id")).alias("copies"))
+    return rows.select("doc_id", "n_tokens", named.alias("domain"), F.array_max("chances").alias("chance"), fit.rate.alias("rate"), copies(fit.rate, F.col("key")).alias("copies"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, chat, hnsw, line_dedup, mixing, packing, quality, sharding, simhash, token_counts
-from .common import table
+from .common import materialise, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.feature_digest(audio.describe(audio.encode(table(spark, sf_dir, "documents"))))
+    media = materialise(audio.encode(table(spark, sf_dir, "documents")), "media")
+    found = audio.feature_digest(audio.describe(media))
     return found.drop("tensor", "spans")
 
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from skymatch.llm import audio, chat
+from skymatch.llm.common import materialise
 
 
 def test_wav_round_trip_and_features(odd, make):
@@ -19,6 +21,34 @@ def test_wav_round_trip_and_features(odd, make):
     assert audio.describe(audio.encode(make([]))).count() == 0
 
 
+def test_stored_media_and_tensors_of_fixed_shape(odd):
+    media = materialise(audio.encode(odd), "media")
+    described = audio.describe(media)
+    assert described.schema["tensor"].metadata == {"shape": [audio.SLOTS, audio.MELS]}
+    found = described.select("tensor").toArrow()["tensor"]
+    held = audio.tensors(found)
+    assert held.type == pa.fixed_shape_tensor(pa.float32(), [audio.SLOTS, audio.MELS])
+    want = np.stack([audio.describe_samples(audio.samples(r["media"])[1])[0] for r in media.collect()])
+    assert np.allclose(held.to_numpy_ndarray(), want, atol=1e-5)
+
+
+def test_mel_filters_and_slots_equal_plain_sums():
+    """Triangles on the mel scale, and means over slots of time, worked out one value at a time."""
+    rate = audio.RATE * audio.UP / audio.DOWN
+    edge = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), audio.MELS + 2)]
+    for k in range(audio.MELS):
+        for i in range(0, audio.FRAME // 2 + 1, 7):
+            f = i * rate / audio.FRAME
+            want = max(0.0, min((f - edge[k]) / (edge[k + 1] - edge[k]), (edge[k + 2] - f) / (edge[k + 2] - edge[k + 1])))
+            assert abs(audio.BANK[i, k] - want) < 1e-4
+    raw = np.random.default_rng(3).integers(0, 256, 6400).astype("u1").tobytes()
+    tensor, _ = audio.describe_samples(raw)
+    mels = audio.log_mels(audio.resample((np.frombuffer(raw, "u1").astype("f4") - 128) / 128))
+    for s in range(audio.SLOTS):
+        rows = [m for i, m in enumerate(mels) if int(s * len(mels) / audio.SLOTS) <= i < int((s + 1) * len(mels) / audio.SLOTS)]
+        assert np.allclose(tensor[s], np.mean(rows, axis=0), atol=1e-5)
+
+
 def test_resampling_equals_the_plain_sum():
     x = np.random.default_rng(0).standard_normal(500).astype("f4")
     got = audio.resample(x)

@@ -26,3 +26,25 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids(docs)
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
     assert quality.SAMPLE <= 10_000
+
+
+#: Names that the stages use inside.
+TAKEN = ["row", "score", "quality_score", "_text", "dropped", "n_near", "first_doc", "th", "_id", "_th", "n1", "times", "key", "n_tokens", "chances", "col", "queue"]
+
+
+def test_odd_rows_pass_every_stage(spark, odd):
+    taken = [c for c in TAKEN if c not in odd.columns]
+    docs = odd.selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(taken)])
+    docs = docs.unionByName(docs.where("doc_id = 6").selectExpr("* EXCEPT (doc_id, text)", "1L AS doc_id", "'quite another text under a known id' AS text").select(*docs.columns))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            got = stage(spark, given, DATA)
+            assert got.columns == docs.columns, name
+            rows = got.collect()
+            assert all(tuple(r[c] for c in taken) == tuple(k for k, c in enumerate(taken)) for r in rows)
+            assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in docs.collect()} or name == "line_dedup"
+        if name == "near_dedup":
+            held = sorted(((r["doc_id"] or -1, len(r["text"] or "")) for r in stage(spark, docs, DATA).collect()))
+            assert [i for i, _ in held] == [-1, 1, 1, 2, 5]
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, DATA).agg({"length": "sum"}).first()[0] > 0 and last(spark, docs.limit(0), DATA).count() == 0
