@@ -73,20 +73,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
     return Domains(names, mean, spread, class_weights(standard(x, mean, spread), np.array([names.index(r["domain"]) for r in rows]), len(names)))
 
 
-def with_posteriors(docs: DataFrame, model: Domains, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns, ``n_tokens`` (words) and ``chances`` (one per domain), without a shuffle."""
+def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
+    """``(row, key, n_tokens, chances)`` without a shuffle: each document's own row, a hash of its id and text, its words, and a chance a domain."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(k, 1000)
-                texts = part.column("_text").to_pylist()
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                texts = part.column(0).flatten()[at].to_pylist()  # the text travels once, inside its row
                 p = model.predict(np.array([features(t) for t in texts], "f4").reshape(-1, WIDTH))
                 tokens = pa.array([len((t or "").split()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), tokens, pa.array(list(p), pa.list_(pa.float64()))], [*keep, "n_tokens", "chances"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tokens, pa.array(list(p), pa.list_(pa.float64()))], ["row", "key", "n_tokens", "chances"])
 
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
-    return rows.mapInArrow(run, T.StructType([*rows.drop("_text").schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))]))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", text_col).alias("key"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))]))
 
 
 def rate(gradients: list[list[float]], step: float, penalty: float, least: float) -> Column:
@@ -207,14 +208,10 @@ def copies(r: Column, key: Column) -> Column:
     return F.floor(r + share).cast("int")
 
 
-def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
-    return docs.select(*columns, "text", F.xxhash64("doc_id", "text").alias("key"))
-
-
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """``docs`` with every row repeated (or left out) by its rate. Columns stay as they are."""
     model = fit_domains(docs, labels)
-    rows = materialise(with_posteriors(_keyed(docs, F.struct("*").alias("row")), model, ["row", "key"]), "posteriors")
+    rows = materialise(with_posteriors(docs, model), "posteriors")
     fit = fit_rates(rows, model.names, targets, least=least)
     taken = rows.select("row", copies(fit.rate, F.col("key")).alias("times")).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
@@ -223,7 +220,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``(doc_id, n_tokens, domain, chance, rate, copies)`` for every document."""
     model = fit_domains(docs, labels)
-    rows = materialise(with_posteriors(_keyed(docs, F.col("doc_id")), model, ["doc_id", "key"]), "posteriors")
+    rows = materialise(with_posteriors(docs.select("doc_id", "text"), model).select("row.doc_id", "key", "n_tokens", "chances"), "posteriors")
     fit = fit_rates(rows, model.names, targets)
     best = F.array_position("chances", F.array_max("chances")).cast("int") - 1
     named = F.get(F.array(*[F.lit(n) for n in fit.names]), best)

@@ -39,10 +39,10 @@ from .common import materialise, small
 
 #: Shares are whole multiples of 1 / SCALE.
 SCALE = 1 << 20
-#: Words whose ids a worker remembers; later words are encoded anew.
-CACHE = 400_000
+#: Words, and parts with runs of white space, whose ids a worker remembers; later ones are encoded anew.
+CACHE, RUNS = 300_000, 40_000
 #: Characters of the longest part that is remembered.
-KEPT = 128
+KEPT = 64
 #: Entries of the tables of tokens served by window and queue that are held at once.
 CELLS = 4_000_000
 #: Characters whose classes all tokenizer libraries agree on: Latin letters and the signs beside them.
@@ -90,12 +90,12 @@ class Words(dict):
     def slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def part(self, part: str, kept: dict[str, bytes]) -> bytes:
+    def part(self, part: str, kept: dict[str, bytes], room: int) -> bytes:
         if self.quick is not None and (part.isascii() or max(map(ord, part)) < PLAIN):
             ids = np.array(self.quick(part), self.kind).tobytes()
         else:
             ids = self.slow(part)
-        if len(part) <= KEPT and len(kept) < CACHE:
+        if len(part) <= KEPT and len(kept) < room:
             kept[part] = ids
         return ids
 
@@ -103,7 +103,7 @@ class Words(dict):
         word = part[1:] if part[:1] == " " else part
         if part and (not word or word[-1].isspace() or (word[0].isspace() and word is not part)):
             raise Run
-        return self.part(part, self)
+        return self.part(part, self, CACHE)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -116,7 +116,7 @@ class Words(dict):
         except Run:
             first, *rest = LONE.split(text)
             held = self.runs
-            return b"".join([held[w] if w in held else self.part(w, held) for w in [first, *map(" ".__add__, rest)]])
+            return b"".join([held[w] if w in held else self.part(w, held, RUNS) for w in [first, *map(" ".__add__, rest)]])
 
 
 def words_of(name: str) -> Words:

@@ -149,7 +149,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Words of a wide fingerprint, and the bits in which two sets at 0.8 may differ: in the first 128, and in all 256. Sets of under SHORT shingles differ in more.
 WORDS, RADIUS, SHORT, SHORT_RADIUS = 4, (42, 72), 8, (47, 82)
 #: Rows of a tile of wide fingerprints, step between levels of set size, levels, and shingles on each side of a block of verification.
-TILE, STEP, LEVELS, BLOCK = 16_384, 1.1, 300, 2_000_000
+TILE, STEP, LEVELS, BLOCK = 16_384, 1.1, 300, 1_000_000
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:

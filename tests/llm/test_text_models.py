@@ -31,7 +31,7 @@ def test_quality_without_labels_and_odd_rows(spark, odd, make):
 def test_rates_meet_targets(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     model = mixing.fit_domains(docs, labels)
-    rows = mixing.with_posteriors(docs, model, ["doc_id"]).cache()
+    rows = mixing.with_posteriors(docs, model).select("row.doc_id", "n_tokens", "chances").cache()
     targets = {k: (3.0 if k == "fr:1" else 1.0) for k in model.names}
     fit = mixing.fit_rates(rows, model.names, targets, rounds=15)
     got = rows.select("doc_id", "n_tokens", "chances", fit.rate.alias("r")).toPandas()
