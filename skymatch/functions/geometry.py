@@ -97,7 +97,7 @@ def pixel_vector(x, y, width, height, fov) -> Vec:
 
 
 def vector_pixel(v: Vec, width, height, fov) -> tuple[Column, Column]:
-    """Pixel (x, y) of a solver-frame vector; null if it is not in front of the camera."""
+    """Pixel (x, y) of a solver-frame vector; null at a right angle to the boresight. Callers keep to the hemisphere ahead."""
     width, height = num(width), num(height)
     s = width / 2 / F.tan(num(fov) / 2)
     ahead = F.when(v[0] != 0, v[0])
@@ -223,7 +223,7 @@ def pattern_code(ratios: Column, bins: int) -> Column:
 
 
 def code_key(code: Column, bins: int) -> Column:
-    """A long that is equal for equal codes only: the code's digits to the base ``bins``, least first."""
+    """The code's digits to the base ``bins``, least first: equal for equal codes, and for unequal ones only where a digit is ``bins`` (a ratio of 1)."""
     return F.aggregate(F.reverse(code), F.lit(0).cast("long"), lambda a, c: a * bins + c)
 
 

@@ -180,15 +180,38 @@ def attitude_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("frame_id", "n_pairs", *[(r6(f"p{i}{j}") + 0.0).alias(f"p{i}{j}") for i in range(3) for j in range(3)])
 
 
-# The planted turn exchanges axes, (x, y, z) to (z, x, y): its quaternion is (1/2, 1/2, 1/2, 1/2) where three directions or two fix it.
-@query(with_tables("directions") + _PAIRS + "SELECT frame_id, count(*)::BIGINT AS n_pairs, 0.5e0 AS qw, 0.5e0 AS qx, 0.5e0 AS qy, 0.5e0 AS qz FROM pairs GROUP BY frame_id HAVING count(*) >= 2")
+# For the two methods every group has a turn of its own, from angles that step with its number.
+_SPUN = (
+    f""", d AS ({_TURNED}), groups AS (SELECT CAST(floor(vec_id / 8e0) AS BIGINT) AS frame_id, ax, ay, az FROM d)
+    , frames AS (SELECT frame_id, count(*)::BIGINT AS n_pairs, radians((frame_id * 73.13e0) % 360e0) AS ra0, radians((frame_id * 31.7e0) % 160e0 - 80e0) AS dec0, radians((frame_id * 41.37e0) % 360e0) AS roll0 FROM groups GROUP BY frame_id HAVING count(*) >= 2)"""
+    + _ROT
+)
+
+
+def _spun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frame(spark, sf_dir, "directions").withColumnRenamed("by_", "by").where(F.abs(g.dot(g.vec("a"), g.vec("b"))) < 0.95)
+    d = d.select(F.floor(F.col("vec_id") / 8).alias("frame_id"), "ax", "ay", "az")
+    turn = g.rotation(F.radians((F.col("frame_id") * 73.13) % 360.0), F.radians((F.col("frame_id") * 31.7) % 160.0 - 80), F.radians((F.col("frame_id") * 41.37) % 360.0))
+    return d.select("frame_id", *[F.col(f"a{k}").alias(f"b{k}") for k in "xyz"], *[c.alias(f"n{k}") for c, k in zip(g.rotate_back(turn, g.vec("a")), "xyz", strict=True)])
+
+
+_QUAT = """, q AS (SELECT *, r00 + r11 + r22 AS t, r00 > r11 AND r00 > r22 AS b1, r11 > r22 AS b2 FROM rot)
+    , u AS (SELECT frame_id, CASE WHEN t > 0 THEN [sqrt(1 + t) / 2, (r21 - r12) / (2 * sqrt(1 + t)), (r02 - r20) / (2 * sqrt(1 + t)), (r10 - r01) / (2 * sqrt(1 + t))]
+        WHEN b1 THEN [(r21 - r12) / (2 * sqrt(1 + r00 - r11 - r22)), sqrt(1 + r00 - r11 - r22) / 2, (r01 + r10) / (2 * sqrt(1 + r00 - r11 - r22)), (r02 + r20) / (2 * sqrt(1 + r00 - r11 - r22))]
+        WHEN b2 THEN [(r02 - r20) / (2 * sqrt(1 + r11 - r00 - r22)), (r01 + r10) / (2 * sqrt(1 + r11 - r00 - r22)), sqrt(1 + r11 - r00 - r22) / 2, (r12 + r21) / (2 * sqrt(1 + r11 - r00 - r22))]
+        ELSE [(r10 - r01) / (2 * sqrt(1 + r22 - r00 - r11)), (r02 + r20) / (2 * sqrt(1 + r22 - r00 - r11)), (r12 + r21) / (2 * sqrt(1 + r22 - r00 - r11)), sqrt(1 + r22 - r00 - r11) / 2] END AS q FROM q)
+    , s AS (SELECT *, CASE WHEN q[1] < 0 THEN -1e0 ELSE 1e0 END AS sign FROM u)
+"""
+
+
+@query(with_tables("directions") + _SPUN + _QUAT + "SELECT s.frame_id, n_pairs, round(q[1] * sign, 5) + 0 AS qw, round(-q[2] * sign, 5) + 0 AS qx, round(-q[3] * sign, 5) + 0 AS qy, round(-q[4] * sign, 5) + 0 AS qz FROM s JOIN frames f ON f.frame_id = s.frame_id")
 def quest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attitude.quest(_pairs(spark, sf_dir), ["frame_id"]).select("frame_id", "n_pairs", *[F.round(c, 5).alias(c) for c in ("qw", "qx", "qy", "qz")])
+    return attitude.quest(_spun(spark, sf_dir), ["frame_id"]).select("frame_id", "n_pairs", *[(F.round(c, 5) + 0.0).alias(c) for c in ("qw", "qx", "qy", "qz")])
 
 
-@query(with_tables("directions") + _PAIRS + "SELECT frame_id, count(*)::BIGINT AS n_pairs, 0e0 AS r00, 1e0 AS r01, 0e0 AS r02, 1e0 AS r12, 1e0 AS r20 FROM pairs GROUP BY frame_id HAVING count(*) >= 2")
+@query(with_tables("directions") + _SPUN + "SELECT r.frame_id, n_pairs, " + ", ".join(f"round({c}, 5) + 0 AS {c}" for c in ("r00", "r01", "r02", "r12", "r20")) + " FROM rot r JOIN frames f ON f.frame_id = r.frame_id")
 def wahba_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = attitude.wahba(_pairs(spark, sf_dir), ["frame_id"]).where("n_pairs >= 2")
+    found = attitude.wahba(_spun(spark, sf_dir), ["frame_id"]).where("n_pairs >= 2")
     return found.select("frame_id", "n_pairs", *[(F.round(c, 5) + 0.0).alias(c) for c in ("r00", "r01", "r02", "r12", "r20")])
 
 
@@ -227,38 +250,54 @@ def fine_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A planted sky: each frame sees the stars of its cone through a known rotation.
-SKY_FOV, SKY_W, SKY_H = math.radians(20.0), 1024.0, 768.0
+SKY_FOV, SKY_W, SKY_H = math.radians(25.0), 1024.0, 768.0
 
 
-def planted(spark: SparkSession, sf_dir: str, spots: int = 14) -> DataFrame:
-    """``detections`` of the frames' cones: positions to a hundredth of a pixel, brightest first."""
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``detections`` of the frames' cones: every star in the frame, at a hundredth of a pixel, brightest first."""
     rot = _rotations(spark, sf_dir)
     stars = frame(spark, sf_dir, "stars").select("star_idx", "x", "y", "z")
     centres = rot.withColumns({"x": F.col("r00"), "y": F.col("r01"), "z": F.col("r02")})
     near = joins.cones(centres, stars, SKY_FOV * 0.65)
     px, py = g.vector_pixel(g.rotate([F.col(c) for c in attitude.R], g.vec("r")), SKY_W, SKY_H, SKY_FOV)
     seen = near.select("frame_id", "star_idx", F.round(px, 2).alias("x"), F.round(py, 2).alias("y")).where(g.in_frame(F.col("x"), F.col("y"), SKY_W, SKY_H))
-    numbered = seen.withColumn("det_idx", (F.row_number().over(Window.partitionBy("frame_id").orderBy("star_idx")) - 1).cast("long"))
-    return numbered.where(F.col("det_idx") < spots)
+    return seen.withColumn("det_idx", (F.row_number().over(Window.partitionBy("frame_id").orderBy("star_idx")) - 1).cast("long"))
 
 
 def sky_database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stars = frame(spark, sf_dir, "stars")
-    return catalogue.generate(stars, SKY_FOV, pattern_stars_per_fov=5, verification_stars_per_fov=30)
+    return catalogue.generate(frame(spark, sf_dir, "stars"), SKY_FOV)
+
 
+_SEPARATION, _REACH = g.separation(SKY_FOV, 10), 2 * math.sin(SKY_FOV / 2)
+_CHORD = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 
+
+@query(
+    with_tables("stars") + f"""
+    , s AS (SELECT star_idx, x, y, z, row_number() OVER (ORDER BY star_idx) AS k FROM stars)
+    , close AS (SELECT a.k AS i, b.k AS j FROM s a JOIN s b ON a.k < b.k AND {_CHORD} <= {_SEPARATION!r}::DOUBLE)
+    , walk(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+        SELECT w.k + 1, CASE WHEN list_has_any(w.kept, coalesce((SELECT list(i) FROM close WHERE j = w.k + 1), CAST([] AS BIGINT[]))) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM walk w WHERE w.k < (SELECT max(k) FROM s))
+    , bright AS (SELECT star_idx, x, y, z FROM s WHERE k IN (SELECT unnest(kept) FROM walk WHERE k = (SELECT max(k) FROM s)))
+    , near AS (SELECT a.star_idx AS i, b.star_idx AS j, {_CHORD} AS chord FROM bright a JOIN bright b ON a.star_idx < b.star_idx AND {_CHORD} <= {_REACH!r}::DOUBLE)
+    , quads AS (SELECT ab.i AS a, ab.j AS b, bc.j AS c, cd.j AS d, list_sort([2 * asin(least(e / 2, 1)) FOR e IN [ab.chord, ac.chord, ad.chord, bc.chord, bd.chord, cd.chord]]) AS edges
+        FROM near ab JOIN near bc ON bc.i = ab.j JOIN near ac ON ac.i = ab.i AND ac.j = bc.j JOIN near cd ON cd.i = bc.j JOIN near ad ON ad.i = ab.i AND ad.j = cd.j JOIN near bd ON bd.i = ab.j AND bd.j = cd.j)
+    SELECT a, b, c, d, CAST({" + ".join(f"floor(edges[{k + 1}] / edges[6] * {catalogue.BINS}) * {catalogue.BINS**k}" for k in range(5))} AS BIGINT) AS code_key, round(edges[6], 6) AS largest_edge FROM quads"""
+)
 def database_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, patterns = sky_database(spark, sf_dir)
-    return patterns.select("pattern_id", "stars", "code_key", r6("largest_edge").alias("largest_edge"))
+    order = F.array_sort("stars")
+    return patterns.select(*[F.get(order, k).alias(c) for k, c in enumerate("abcd")], "code_key", r6("largest_edge").alias("largest_edge"))
 
 
-query()(database_build)
+def solved_frames(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    stars, patterns = sky_database(spark, sf_dir)
+    detections = planted(spark, sf_dir).select("frame_id", "det_idx", "x", "y")
+    return solver.solve(detections, stars, patterns, SKY_W, SKY_H, frames=frame(spark, sf_dir, "frames"), **options)
 
 
 def plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stars, patterns = sky_database(spark, sf_dir)
-    detections = planted(spark, sf_dir).select("frame_id", "det_idx", "x", "y")
-    found = solver.solve(detections, stars, patterns, SKY_W, SKY_H, SKY_FOV, math.radians(1.0), threshold=1e-5)
+    found = solved_frames(spark, sf_dir, fov=SKY_FOV, fov_error=math.radians(1.0))
     return found.select("frame_id", *[F.round(c, 4).alias(c) for c in ("ra", "dec", "roll", "fov")], F.round("rmse", 1).alias("rmse"), "matches")
 
 

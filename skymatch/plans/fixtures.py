@@ -3,6 +3,8 @@
 Each is SQL over ``{table}`` placeholders: filled with views for Spark, and
 used as common table expressions by the oracles. Doubles are rounded to nine
 digits where trigonometry enters, for its last bit differs between engines.
+Stars are scattered by polynomials modulo primes; steps by a constant would give a
+sky that nearly repeats itself, in which patterns do not tell places apart.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 STARS = """
     SELECT star_idx, cat_id, mag, ra, dec, round(cos(ra) * cos(dec), 9) AS x, round(sin(ra) * cos(dec), 9) AS y, round(sin(dec), 9) AS z FROM (
         SELECT CAST(p_size AS BIGINT) * 1000000000 + p_partkey AS star_idx, p_partkey AS cat_id, p_size / 6.25e0 AS mag,
-            round(radians((p_partkey * 137.50776405e0) % 360e0), 9) AS ra, round(asin(2e0 * ((p_partkey * 0.7548776662e0) % 1e0) - 1e0), 9) AS dec FROM {part}) q
+            round(radians(((((p_partkey * p_partkey) % 999983) * (p_partkey % 4093 + 7) + p_partkey * 31) % 999983) / 999983e0 * 360e0), 9) AS ra,
+            round(asin(2e0 * (((((p_partkey * p_partkey) % 1000003) * (p_partkey % 5003 + 11) + p_partkey * 17) % 1000003) / 1000003e0) - 1e0), 9) AS dec FROM {part}) q
 """
 RAW = """
     SELECT p_partkey AS cat_id, CASE WHEN p_size % 7 = 0 THEN '  ' ELSE CAST(p_size AS VARCHAR(9)) END AS mag,
