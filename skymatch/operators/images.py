@@ -41,22 +41,24 @@ def _sizes(pixels: DataFrame) -> DataFrame:
 
 
 def box_mean(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
-    """Add ``local``: the mean of the size x size box around each pixel, the border mirrored with its edge."""
+    """Add ``local``: the mean of the size x size box around each pixel, the border mirrored with its edge. One frame a group."""
+
+    def mean(grid: np.ndarray) -> np.ndarray:
+        sums = np.pad(np.pad(grid, size // 2, "symmetric").cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / (size * size)
+
+    return _by_frame(pixels, size, value, mean)
+
+
+def _by_frame(pixels: DataFrame, size: int, value: str, filtered) -> DataFrame:
+    """Add ``local``: what ``filtered`` makes of each frame's grid of ``value``."""
     if size % 2 == 0:
         raise ValueError("the box must be odd")
-    r = size // 2
-    rows = pixels.join(_sizes(pixels), "frame_id").withColumn("local", F.col(value).cast("double"))
-    for axis, length, other in (("x", "w", "y"), ("y", "h", "x")):
-        period = 2 * F.col(length)
-        # every mirrored place of a pixel in [-r, length + r)
-        spots = F.filter(
-            F.flatten(F.transform(F.sequence(F.floor(F.lit(-r) / period).cast("int") - 1, F.floor(r / period).cast("int") + 1), lambda k: F.array(F.col(axis) + k * period, -1 - F.col(axis) + k * period))),
-            lambda p: (p >= -r) & (p < F.col(length) + r),
-        )
-        wide = rows.withColumn("_at", F.explode(spots))
-        along = Window.partitionBy("frame_id", other).orderBy("_at").rowsBetween(-r, r)
-        rows = wide.withColumn("local", F.avg("local").over(along)).where(F.col("_at") == F.col(axis)).drop("_at")
-    return rows.drop("h", "w")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(local=filtered(_grid(pdf, value))[pdf.y, pdf.x])
+
+    return pixels.groupBy("frame_id").applyInPandas(run, pixels.schema.simpleString()[7:-1] + ", local double")
 
 
 def background(pixels: DataFrame, mode: str | None, size: int = 25) -> DataFrame:
@@ -89,33 +91,49 @@ _CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 
 
 def opening(spots: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Erode and dilate a table of set pixels ``(frame_id, y, x)`` by the 3 x 3 cross; outside the frame nothing is set."""
+    """Erode and dilate a table of set pixels ``(frame_id, y, x)`` by the 3 x 3 cross.
+
+    Outside the frame nothing is set; with ``sizes(frame_id, h, w)`` the outside does not erode.
+    """
     shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _CROSS])
     spread = spots.select("frame_id", "y", "x", F.explode(shifts).alias("s")).select("frame_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    eroded = spread.groupBy("frame_id", "y", "x").agg(F.count(F.lit(1)).alias("n")).where("n = 5").drop("n")
+    eroded = spread.groupBy("frame_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        eroded = eroded.where("n = 5").drop("n")
+    else:
+        out = [F.col("y") == 0, F.col("x") == 0, F.col("y") == F.col("h") - 1, F.col("x") == F.col("w") - 1]
+        framed = eroded.join(sizes, "frame_id").where(F.col("y").between(0, F.col("h") - 1) & F.col("x").between(0, F.col("w") - 1))
+        eroded = framed.where(F.col("n") == F.lit(5) - sum(c.cast("int") for c in out)).select("frame_id", "y", "x")
     grown = eroded.select("frame_id", "y", "x", F.explode(shifts).alias("s")).select("frame_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    return grown.distinct()  # a grown pixel was set before, so it is inside
+    return grown.distinct() if sizes is None else grown.join(spots, ["frame_id", "y", "x"], "left_semi").distinct()  # a grown pixel inside was set before
 
 
 def _labels(y: np.ndarray, x: np.ndarray, corners: bool) -> np.ndarray:
-    """Smallest row number of each pixel's blob, by label spreading over a padded grid."""
-    h, w = int(y.max()) + 3, int(x.max()) + 3
-    big = h * w
-    grid = np.full((h, w), big, "i8")
-    grid[y + 1, x + 1] = y * w + x
-    on = grid < big
-    while True:
-        new = grid.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if (dy or dx) and (corners or not (dy and dx)):
-                    np.minimum(new, np.roll(grid, (dy, dx), (0, 1)), out=new)
-        new = np.where(on, new, big)
-        if (new == grid).all():
-            break
-        grid = new
-    root = grid[y + 1, x + 1]
-    return np.searchsorted(np.unique(root), root)
+    """Each pixel's blob, numbered by first pixels in reading order: neighbours are linked, links merged by halving paths."""
+    wide = int(x.max(initial=0)) + 2
+    place = y.astype("i8") * wide + x
+    order = np.argsort(place, kind="stable")
+    held = place[order]
+    label = np.arange(len(held))
+    a, b = [], []
+    for step in (1, wide, *((wide - 1, wide + 1) if corners else ())):  # a free column keeps rows apart
+        at = np.minimum(np.searchsorted(held, held + step), len(held) - 1)
+        met = np.nonzero(held[at] == held + step)[0]
+        a.append(met)
+        b.append(at[met])
+    a, b = np.concatenate(a), np.concatenate(b)
+    while len(a):
+        p, q = label[a], label[b]
+        open_ = p != q
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        up = np.arange(len(held))
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while not ((far := up[up]) == up).all():
+            up = far
+        label = up[label]
+    out = np.empty(len(held), "i8")
+    out[order] = np.searchsorted(np.unique(label), label)
+    return out
 
 
 def components(spots: DataFrame, corners: bool = False) -> DataFrame:
@@ -217,17 +235,26 @@ def _outline(y: np.ndarray, x: np.ndarray) -> float:
     return abs(twice) / 2
 
 
+def inside(pixels: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels ``(frame_id, y, x, v)`` with ``keys`` of each rectangle ``(frame_id, x1, y1, x2, y2)`` that holds them, and its corners.
+
+    The rows of a rectangle meet the rows of pixels, so no pixel meets all rectangles of its frame.
+    """
+    rows = rects.select("frame_id", *keys, "x1", "y1", "x2", "y2").withColumn("y", F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)))
+    return pixels.select("frame_id", "y", "x", "v").join(rows, ["frame_id", "y"]).where("x >= x1 and x < x2")
+
+
 def ring_centroids(pixels: DataFrame, rects: DataFrame, guard: bool = True) -> DataFrame:
     """Rectangles with ``ring`` (mean of their one-pixel border), ``contrast`` (highest value less ring), ``mass`` and centroid above the ring.
 
     With ``guard`` rectangles of at most two pixels a side have ring 0.
     """
-    inside = pixels.join(rects.select("frame_id", "label", "x1", "y1", "x2", "y2"), "frame_id").where("x >= x1 and x < x2 and y >= y1 and y < y2")
-    edge = F.col("x").isin([]) | (F.col("x") == F.col("x1")) | (F.col("x") == F.col("x2") - 1) | (F.col("y") == F.col("y1")) | (F.col("y") == F.col("y2") - 1)
-    ring = inside.groupBy("frame_id", "label").agg(F.avg(F.when(edge, F.col("v"))).alias("ring"), F.max("v").alias("peak"), F.first("x1").alias("x1"), F.first("y1").alias("y1"), F.first("x2").alias("x2"), F.first("y2").alias("y2"))
+    held = inside(pixels, rects, ["label"])
+    edge = (F.col("x") == F.col("x1")) | (F.col("x") == F.col("x2") - 1) | (F.col("y") == F.col("y1")) | (F.col("y") == F.col("y2") - 1)
+    ring = held.groupBy("frame_id", "label").agg(F.avg(F.when(edge, F.col("v"))).alias("ring"), F.max("v").alias("peak"), F.first("x1").alias("x1"), F.first("y1").alias("y1"), F.first("x2").alias("x2"), F.first("y2").alias("y2"))
     if guard:
         ring = ring.withColumn("ring", F.when((F.col("x2") - F.col("x1") <= 2) | (F.col("y2") - F.col("y1") <= 2), 0.0).otherwise(F.col("ring")))
-    above = inside.select("frame_id", "label", "x", "y", "v").join(ring, ["frame_id", "label"]).withColumn("a", F.greatest(F.col("v") - F.col("ring"), F.lit(0.0)))
+    above = held.select("frame_id", "label", "x", "y", "v").join(ring, ["frame_id", "label"]).withColumn("a", F.greatest(F.col("v") - F.col("ring"), F.lit(0.0)))
     total = F.sum("a")
     out = above.groupBy("frame_id", "label").agg(F.first("ring").alias("ring"), (F.first("peak") - F.first("ring")).alias("contrast"), total.alias("mass"), F.sum(F.col("a") * F.col("x")).alias("_x"), F.sum(F.col("a") * F.col("y")).alias("_y"))
     return out.select("frame_id", "label", "ring", "contrast", "mass", *[F.when(F.col("mass") > 0, F.col(f"_{c}") / F.col("mass")).alias(c) for c in "xy"])
@@ -235,9 +262,9 @@ def ring_centroids(pixels: DataFrame, rects: DataFrame, guard: bool = True) -> D
 
 def roi_centroids(pixels: DataFrame, rects: DataFrame) -> DataFrame:
     """Centroids over whole rectangles after subtracting their mean; rectangles without mass are dropped."""
-    inside = pixels.join(rects.select("frame_id", "label", "x1", "y1", "x2", "y2"), "frame_id").where("x >= x1 and x < x2 and y >= y1 and y < y2")
-    mean = inside.groupBy("frame_id", "label").agg(F.avg("v").alias("mean"))
-    above = inside.select("frame_id", "label", "x", "y", "v").join(mean, ["frame_id", "label"]).withColumn("a", F.greatest(F.col("v") - F.col("mean"), F.lit(0.0)))
+    held = inside(pixels, rects, ["label"])
+    mean = held.groupBy("frame_id", "label").agg(F.avg("v").alias("mean"))
+    above = held.select("frame_id", "label", "x", "y", "v").join(mean, ["frame_id", "label"]).withColumn("a", F.greatest(F.col("v") - F.col("mean"), F.lit(0.0)))
     out = above.groupBy("frame_id", "label").agg(F.sum("a").alias("intensity"), F.sum(F.col("a") * F.col("x")).alias("_x"), F.sum(F.col("a") * F.col("y")).alias("_y"), F.max("v").alias("peak"))
     return out.where("intensity > 0").select("frame_id", "label", (F.col("_x") / F.col("intensity")).alias("x"), (F.col("_y") / F.col("intensity")).alias("y"), "intensity", "peak")
 
@@ -276,10 +303,14 @@ def downsample(pixels: DataFrame, factor: int, mean: bool = False) -> DataFrame:
     return rows.where(F.col("n") == factor * factor).drop("n")
 
 
-def crop(pixels: DataFrame, height: int, width: int, dy: int = 0, dx: int = 0, multiple: int = 2) -> DataFrame:
-    """A centred window moved by (dy, dx): its size is rounded up to ``multiple`` and cut to the frame, as is its place."""
+def crop(pixels: DataFrame, height: int | None = None, width: int | None = None, dy: int = 0, dx: int = 0, multiple: int = 2, divisor: int | None = None) -> DataFrame:
+    """A centred window moved by (dy, dx): its size is rounded up to ``multiple`` and cut to the frame, as is its place.
+
+    With ``divisor`` the window is that fraction of each frame's height and width.
+    """
     rows = pixels.join(_sizes(pixels), "frame_id")
-    up = lambda n, most: F.least(F.lit(-(-n // multiple) * multiple), F.floor(F.col(most) / multiple).cast("int") * multiple)
+    part = lambda n, most: F.lit(n) if divisor is None else F.floor(F.col(most) / divisor)
+    up = lambda n, most: F.least(F.ceil(part(n, most) / multiple).cast("int") * multiple, F.floor(F.col(most) / multiple).cast("int") * multiple)
     ch, cw = up(height, "h"), up(width, "w")
     oy = F.least(F.greatest(F.floor((F.col("h") - ch) / 2).cast("int") + dy, F.lit(0)), F.col("h") - ch)
     ox = F.least(F.greatest(F.floor((F.col("w") - cw) / 2).cast("int") + dx, F.lit(0)), F.col("w") - cw)
@@ -287,39 +318,149 @@ def crop(pixels: DataFrame, height: int, width: int, dy: int = 0, dx: int = 0, m
     return at.where("y >= 0 and x >= 0 and y < _ch and x < _cw").drop("h", "w", "_ch", "_cw")
 
 
+def crop_and_downsample(pixels: DataFrame, factor: int | None = None, mean: bool = False, **window) -> DataFrame:
+    """A cropped window (see `crop`; its size becomes a multiple of ``factor``), then blocks of ``factor`` summed or averaged."""
+    if window:
+        pixels = crop(pixels, multiple=factor or 2, **window)
+    return downsample(pixels, factor, mean) if factor else pixels
+
+
 def _grid(pdf: pd.DataFrame, value: str) -> np.ndarray:
     grid = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
     grid[pdf.y, pdf.x] = pdf[value]
     return grid
 
 
+#: Values of boxes that are held at once when medians are taken.
+BOX_VALUES = 8_000_000
+
+
+def _median(grid: np.ndarray, size: int, edge: str = "symmetric") -> np.ndarray:
+    """Medians of the boxes around the places of a grid, some rows at a time."""
+    boxes_of = np.lib.stride_tricks.sliding_window_view(np.pad(grid, size // 2, edge), (size, size))
+    step = max(1, BOX_VALUES // (grid.shape[1] * size * size))
+    return np.concatenate([np.median(boxes_of[y : y + step], axis=(2, 3)) for y in range(0, len(grid), step)])
+
+
 def median_filter(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
-    """Add ``local``: the median of the box around each pixel, the border mirrored with its edge. One frame a call."""
+    """Add ``local``: the median of the box around each pixel, the border mirrored with its edge. One frame a group."""
+    return _by_frame(pixels, size, value, lambda grid: _median(grid, size))
+
+
+def _blurred(grid: np.ndarray, size: int, sigma: float = 0.0) -> np.ndarray:
+    """Gaussian weights along both axes, the border mirrored without its edge; sigma 0 is the usual one for ``size``."""
+    r, s = size // 2, sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-np.square(np.arange(-r, r + 1)) / (2 * s * s))
+    for _ in range(2):
+        padded = np.pad(grid, ((0, 0), (r, r)), "reflect") if grid.shape[1] > 1 else np.repeat(grid, size, axis=1)
+        grid = (np.lib.stride_tricks.sliding_window_view(padded, size, axis=1) @ (weights / weights.sum())).T
+    return grid
+
+
+def gaussian_blur(pixels: DataFrame, size: int = 5, sigma: float = 0.0) -> DataFrame:
+    """``v`` weighted by a Gaussian; the border is mirrored without its edge. One frame a group."""
+    rows = pixels.select("frame_id", "y", "x", F.col("v").cast("double").alias("v"))
+    return _by_frame(rows, size, "v", lambda grid: _blurred(grid, size, sigma)).select("frame_id", "y", "x", F.col("local").alias("v"))
+
+
+def _smaller(grid: np.ndarray, factor: int) -> np.ndarray:
+    """Every ``factor``-th pixel, as the nearest-neighbour scaling to 1 / factor picks them."""
+    h, w = (max(1, round(n / factor)) for n in grid.shape)
+    at = lambda n, m: np.minimum((np.arange(m) * (n / m)).astype(int), n - 1)
+    return grid[np.ix_(at(grid.shape[0], h), at(grid.shape[1], w))]
+
+
+def _larger(grid: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Linear scaling to ``shape``, pixel centres on pixel centres, the border held."""
+    for axis, n in enumerate(shape):
+        m = grid.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        low = np.minimum(at.astype(int), max(0, m - 2))
+        part = np.expand_dims(at - low, 1 - axis)
+        grid = np.take(grid, low, axis) * (1 - part) + np.take(grid, np.minimum(low + 1, m - 1), axis) * part
+    return grid
+
+
+def flattened(pixels: DataFrame, whole: bool, factor: int = 16) -> DataFrame:
+    """``(frame_id, y, x, smooth, clean)``: a 3 x 3 blur, and that less a background by scaling down, median and scaling up, not below 0.
+
+    With ``whole`` values are rounded to integers at each step, as 8-bit images are. One frame a group.
+    """
+    step = (lambda g: np.floor(g + 0.5)) if whole else (lambda g: g)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.pad(_grid(pdf, value), size // 2, "symmetric")
-        found = np.median(np.lib.stride_tricks.sliding_window_view(grid, (size, size)), axis=(2, 3))
-        return pdf.assign(local=found[pdf.y, pdf.x])
+        smooth = step(_blurred(_grid(pdf, "v"), 3, 1.0))
+        ground = step(_larger(_median(np.floor(_smaller(smooth, factor)), 3, "edge"), smooth.shape))
+        clean = np.maximum(smooth - ground, 0)
+        return pdf[["frame_id", "y", "x"]].assign(smooth=smooth[pdf.y, pdf.x], clean=clean[pdf.y, pdf.x])
 
-    if size % 2 == 0:
-        raise ValueError("the box must be odd")
-    return pixels.groupBy("frame_id").applyInPandas(run, pixels.schema.simpleString()[7:-1] + ", local double")
+    kind = pixels.schema["frame_id"].dataType.simpleString()
+    return pixels.select("frame_id", "y", "x", "v").groupBy("frame_id").applyInPandas(run, f"frame_id {kind}, y int, x int, smooth double, clean double")
+
+
+def simple_process(pixels: DataFrame, sigmas: float = 4.0) -> DataFrame:
+    """``(frame_id, y, x, blur, clean, binary)``: blur of 5, less its own blur of 51, and what passes mean + sigmas * deviation; 8-bit values."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blur = np.floor(_blurred(_grid(pdf, "v"), 5) + 0.5)
+        clean = np.maximum(blur - np.floor(_blurred(blur, 51) + 0.5), 0)
+        binary = np.where(clean > np.floor(clean.mean() + sigmas * clean.std()), 255, 0)
+        return pdf[["frame_id", "y", "x"]].assign(**{name: grid[pdf.y, pdf.x].astype("i4") for name, grid in (("blur", blur), ("clean", clean), ("binary", binary))})
+
+    kind = pixels.schema["frame_id"].dataType.simpleString()
+    return pixels.select("frame_id", "y", "x", "v").groupBy("frame_id").applyInPandas(run, f"frame_id {kind}, y int, x int, blur int, clean int, binary int")
+
+
+#: Two-stage detection: least contrast above the ring, longest side over the shortest, nearness of detections that are one.
+CONTRAST, ASPECT, APART = 5.0, 4.0, 10.0
+
+
+def contour_spots(clean: DataFrame, shown: str, sigmas: float, pad: int, share: float) -> DataFrame:
+    """Spots of ``flattened`` frames: ``frame_id, label, x, y, w, h, first``.
+
+    Threshold on the whole part of ``clean``, opening, blobs joined by corners,
+    boxes that are not elongated, widened by ``share`` of their longer side (``pad``
+    at least), contrast above the ring, centroid above the ring in column ``shown``.
+    """
+    sizes = _sizes(clean)
+    level = F.floor("clean")
+    limit = clean.groupBy("frame_id").agg(F.floor(F.avg("clean") + sigmas * F.stddev_pop("clean")).alias("threshold"))
+    on = clean.join(limit, "frame_id").where(level > F.col("threshold")).select("frame_id", "y", "x")
+    box = boxes(components(opening(on, sizes), corners=True)).withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")})
+    box = box.where(F.greatest("w", "h") <= ASPECT * F.least("w", "h")).join(sizes.withColumnsRenamed({"h": "fh", "w": "fw"}), "frame_id")
+    wide = F.greatest(F.lit(pad), F.floor(F.greatest("w", "h") * share).cast("int"))
+    rects = box.select(
+        "frame_id", "label", "w", "h", (F.col("y1") * F.col("fw") + F.col("x1")).alias("first"), F.greatest(F.col("x1") - wide, F.lit(0)).alias("x1"), F.greatest(F.col("y1") - wide, F.lit(0)).alias("y1"),
+        F.least(F.col("x2") + wide, F.col("fw")).alias("x2"), F.least(F.col("y2") + wide, F.col("fh")).alias("y2"),
+    )
+    found = ring_centroids(clean.select("frame_id", "y", "x", F.col(shown).alias("v")), rects, guard=False).where((F.col("contrast") >= CONTRAST) & (F.col("mass") > 0))
+    return found.select("frame_id", "label", "x", "y").join(rects.select("frame_id", "label", "w", "h", "first"), ["frame_id", "label"])
 
-def gaussian_blur(pixels: DataFrame, size: int = 5) -> DataFrame:
-    """``v`` weighted by a Gaussian of the usual width for ``size``, border mirrored without its edge: two joins with a small kernel."""
-    r = size // 2
-    s = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    weights = [math.exp(-k * k / (2 * s * s)) for k in range(-r, r + 1)]
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-r, r + 1), weights, strict=True)])
-    rows = pixels.select("frame_id", "y", "x", F.col("v").cast("double").alias("v")).join(_sizes(pixels), "frame_id")
-    for axis, length in (("x", "w"), ("y", "h")):
-        # a pixel adds to its neighbours and, over a mirrored border, to those that see its image
-        images = F.array_distinct(F.array(F.col(axis), -F.col(axis), 2 * (F.col(length) - 1) - F.col(axis)))
-        spread = rows.withColumn("_i", F.explode(images)).withColumn("_k", F.explode(kernel)).withColumn("_to", F.col("_i") + F.col("_k.k")).where(F.col("_to").between(0, F.col(length) - 1))
-        other = "y" if axis == "x" else "x"
-        rows = spread.groupBy("frame_id", other, F.col("_to").alias(axis)).agg(F.sum(F.col("v") * F.col("_k.w")).alias("v"), F.first("h").alias("h"), F.first("w").alias("w"))
-    return rows.select("frame_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+
+def two_stage(pixels: DataFrame) -> DataFrame:
+    """``(frame_id, channel, x, y)``: spots of the gray image, and those of the channels B, G and R that are new.
+
+    ``pixels(frame_id, channel, y, x, v)`` holds 8-bit channels. Gray spots have
+    iterated centroids. A channel's spot is new if no gray one is within `APART`
+    pixels and no new one before it, in order of channel and then from the last
+    contour to the first.
+    """
+    weight = F.when(F.col("channel") == "R", 0.299).when(F.col("channel") == "G", 0.587).otherwise(0.114)
+    gray = pixels.groupBy("frame_id", "y", "x").agg(F.floor(F.sum(F.col("v") * weight) + 0.5).alias("v"))
+    clean = flattened(gray, True)
+    seeds = contour_spots(clean, "smooth", 2.5, 3, 0.5)
+    half = F.greatest(F.lit(3), F.floor(F.greatest("w", "h") * 0.5 + 2).cast("int"))
+    seeds = seeds.select("frame_id", F.col("label").alias("det_idx"), "x", "y", half.alias("half"))
+    spots = iterate_centroids(clean.select("frame_id", "y", "x", F.col("smooth").alias("v")), seeds, stop_small=False)
+    number = {"B": 0, "G": 1, "R": 2}
+    each = []
+    for channel, k in number.items():
+        own = flattened(pixels.where(F.col("channel") == channel), False)
+        found = contour_spots(own, "clean", 3.5, 2, 0.4)
+        each.append(found.select("frame_id", F.struct(F.lit(k).alias("k"), (-F.col("first")).alias("last")).alias("order"), "x", "y"))
+    fresh = dedup_channels(spots, each[0].unionByName(each[1]).unionByName(each[2]), APART, APART)
+    names = F.array(*map(F.lit, number))
+    return spots.select("frame_id", F.lit("gray").alias("channel"), "x", "y").unionByName(fresh.select("frame_id", F.get(names, F.col("order.k")).alias("channel"), "x", "y"))
 
 
 def recentre(pixels: DataFrame, spots: DataFrame, window: int) -> DataFrame:
@@ -327,13 +468,21 @@ def recentre(pixels: DataFrame, spots: DataFrame, window: int) -> DataFrame:
     held = spots.select("frame_id", "det_idx", F.col("x").alias("_sx"), F.col("y").alias("_sy")).join(_sizes(pixels), "frame_id")
     low = lambda c, n: F.least(F.greatest(F.floor(F.col(c)).cast("int") - window // 2, F.lit(0)), F.col(n) - window)
     held = held.withColumn("_x0", low("_sx", "w")).withColumn("_y0", low("_sy", "h"))
-    near = pixels.join(held, "frame_id").where(f"x >= _x0 and x < _x0 + {window} and y >= _y0 and y < _y0 + {window}")
+    rects = held.select("frame_id", "det_idx", F.col("_x0").alias("x1"), F.col("_y0").alias("y1"), (F.col("_x0") + window).alias("x2"), (F.col("_y0") + window).alias("y2"))
+    near = inside(pixels, rects, ["det_idx"])
     sums = near.groupBy("frame_id", "det_idx").agg(F.sum("v").alias("m"), F.sum(F.col("v") * (F.col("x") + 0.5)).alias("mx"), F.sum(F.col("v") * (F.col("y") + 0.5)).alias("my"))
     return sums.select("frame_id", "det_idx", *[F.when(F.col("m") != 0, F.col(f"m{c}") / F.col("m")).alias(c) for c in "xy"])
 
 
-def iterate_centroids(pixels: DataFrame, spots: DataFrame, half: int = 4, steps: int = 10, close: float = 0.01) -> DataFrame:
-    """Centroids above the ring of a window that follows them until it moves less than ``close`` pixels. One frame a group."""
+def iterate_centroids(pixels: DataFrame, spots: DataFrame, half: int = 4, steps: int = 10, close: float = 0.01, stop_small: bool = True) -> DataFrame:
+    """Centroids above the ring of a window that follows them until it moves less than ``close`` pixels. One frame a group.
+
+    A spot's own ``half``, if ``spots`` has that column, takes the place of the
+    common one. A window of two pixels a side or less ends the search, or, without
+    ``stop_small``, is all ring.
+    """
+    spots = spots if "half" in spots.columns else spots.withColumn("half", F.lit(half))
+    own = spots.select(F.col("frame_id").alias("spot_frame"), "det_idx", "x", "y", "half")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -343,12 +492,13 @@ def iterate_centroids(pixels: DataFrame, spots: DataFrame, half: int = 4, steps:
             for s in right.itertuples():
                 cx, cy = s.x, s.y
                 for _ in range(steps):
-                    x1, y1 = max(0, int(cx) - half), max(0, int(cy) - half)
-                    x2, y2 = min(w, int(cx) + half + 1), min(h, int(cy) + half + 1)
+                    x1, y1 = max(0, int(cx) - s.half), max(0, int(cy) - s.half)
+                    x2, y2 = min(w, int(cx) + s.half + 1), min(h, int(cy) + s.half + 1)
                     roi = grid[y1:y2, x1:x2]
-                    if min(roi.shape) <= 2:
+                    tiny = min(roi.shape) <= 2
+                    if not roi.size or (tiny and stop_small):
                         break
-                    ring = np.concatenate([roi[0], roi[-1], roi[1:-1, 0], roi[1:-1, -1]]).mean()
+                    ring = roi.mean() if tiny else np.concatenate([roi[0], roi[-1], roi[1:-1, 0], roi[1:-1, -1]]).mean()
                     a = np.maximum(roi - ring, 0)
                     if a.sum() == 0:
                         break
@@ -361,7 +511,7 @@ def iterate_centroids(pixels: DataFrame, spots: DataFrame, half: int = 4, steps:
                 out.append((int(key[0]), int(s.det_idx), cx, cy))
         return pd.DataFrame(out, columns=["frame_id", "det_idx", "x", "y"]).astype({"frame_id": "int64", "det_idx": "int64", "x": "float64", "y": "float64"})
 
-    return pixels.groupBy("frame_id").cogroup(spots.select("frame_id", "det_idx", "x", "y").groupBy("frame_id")).applyInPandas(run, "frame_id long, det_idx long, x double, y double")
+    return pixels.groupBy("frame_id").cogroup(own.groupBy("spot_frame")).applyInPandas(run, "frame_id long, det_idx long, x double, y double")
 
 
 def dedup_channels(gray: DataFrame, colour: DataFrame, near_gray: float = 10.0, near_colour: float = 10.0) -> DataFrame:

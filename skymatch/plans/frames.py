@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,7 +170,18 @@ def median_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.median_filter(_pixels(spark, sf_dir), 3).select("frame_id", "y", "x", "local")
 
 
-@query()
+_S = 2 * 1.1**2
+_WEIGHTS = [math.exp(-k * k / _S) for k in range(-2, 3)]
+_KERNEL = ", ".join(f"({k}, {w / sum(_WEIGHTS)!r}::DOUBLE)" for k, w in zip(range(-2, 3), _WEIGHTS, strict=True))
+_MIRROR = "CASE WHEN {0} + k < 0 THEN -({0} + k) WHEN {0} + k > 31 THEN 62 - ({0} + k) ELSE {0} + k END"
+
+
+@query(
+    with_tables("pixels") + f""", kernel(k, weight) AS (VALUES {_KERNEL})
+    , mx AS (SELECT frame_id, y, x, weight, {_MIRROR.format('x')} AS q FROM pixels, kernel), ax AS (SELECT m.frame_id, m.y, m.x, sum(p.v * weight) AS v FROM mx m JOIN pixels p ON p.frame_id = m.frame_id AND p.y = m.y AND p.x = m.q GROUP BY m.frame_id, m.y, m.x)
+    , my AS (SELECT frame_id, y, x, weight, {_MIRROR.format('y')} AS q FROM pixels, kernel)
+    SELECT m.frame_id, m.y, m.x, round(sum(p.v * weight), 6) AS v FROM my m JOIN ax p ON p.frame_id = m.frame_id AND p.x = m.x AND p.y = m.q GROUP BY m.frame_id, m.y, m.x"""
+)
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.gaussian_blur(_pixels(spark, sf_dir)).withColumn("v", r6("v"))
 
@@ -197,3 +210,31 @@ def iterated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pixels(spark, sf_dir)
     spots = images.extract(p, size=15, min_area=3)
     return images.iterate_centroids(p, spots).select("frame_id", "det_idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(with_tables("pixels") + "SELECT frame_id, y - 8 AS y, x - 8 AS x, v FROM pixels WHERE y BETWEEN 8 AND 23 AND x BETWEEN 8 AND 23")
+def crop_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.crop(_pixels(spark, sf_dir), divisor=2)
+
+
+@query(with_tables("pixels") + "SELECT frame_id, CAST(floor((y - 4) / 4e0) AS INTEGER) AS y, CAST(floor((x - 8) / 4e0) AS INTEGER) AS x, avg(v) AS v FROM pixels WHERE y BETWEEN 4 AND 27 AND x BETWEEN 8 AND 23 GROUP BY ALL")
+def crop_and_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.crop_and_downsample(_pixels(spark, sf_dir), 4, mean=True, height=22, width=16)
+
+
+@query()
+def simple_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.simple_process(_pixels(spark, sf_dir))
+
+
+def _colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels as three channels, of which the red one has a spot of its own and the blue one is dimmer."""
+    spot = F.when((F.abs(F.col("y") - 27) + F.abs(F.col("x") - 8) <= 2) & (F.col("channel") == "R"), 150 - 25 * (F.abs(F.col("y") - 27) + F.abs(F.col("x") - 8))).otherwise(0)
+    rows = _pixels(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, "BGR"))).alias("channel"))
+    value = F.least(F.lit(255), F.floor(F.col("v") * F.when(F.col("channel") == "B", 0.8).otherwise(1.0)) + spot)
+    return rows.withColumn("v", value.cast("int"))
+
+
+@query()
+def two_stage_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.two_stage(_colour(spark, sf_dir)).select("frame_id", "channel", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))

@@ -112,7 +112,7 @@ def kvector_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANGLES = f"atan((160 - x) / (160 / tan({X_FOV}::DOUBLE / 2))) AS ra, atan((120 - y) / (120 / tan({X_FOV}::DOUBLE * 240 / 320 / 2))) AS dec"
 
 
-@query(
+_VOTING = (
     with_tables("stars", "detections") + _PAIRS + f""", seen AS (SELECT frame_id, det_idx, {_ANGLES} FROM detections)
     , g AS (SELECT a.frame_id, a.det_idx AS a, b.det_idx AS b, round({_DIST}, 9) AS g FROM seen a JOIN seen b ON a.frame_id = b.frame_id AND a.det_idx < b.det_idx)
     , q AS (SELECT frame_id, a, b, greatest({LOW}, g - {TOLERANCE}) AS lo, least({HIGH}, g + {TOLERANCE}) AS hi FROM g)
@@ -123,11 +123,25 @@ _ANGLES = f"atan((160 - x) / (160 / tan({X_FOV}::DOUBLE / 2))) AS ra, atan((120
     , best AS (SELECT frame_id, det, star, votes FROM votes QUALIFY row_number() OVER (PARTITION BY frame_id, det ORDER BY votes DESC, star) = 1)
     SELECT d.frame_id, d.det_idx, coalesce(star, 0)::BIGINT AS star_idx, coalesce(votes, 0)::BIGINT AS votes FROM detections d LEFT JOIN best b ON b.frame_id = d.frame_id AND b.det = d.det_idx"""
 )
+
+
+@query(_VOTING)
 def geometric_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     detections = frame(spark, sf_dir, "detections").withColumn("det_idx", F.col("det_idx").cast("long"))
     return kvector.vote(detections, _index(spark, sf_dir), X_FOV, 320, 240, LOW, HIGH, BINS, TOLERANCE)
 
 
+@query(_VOTING.replace("SELECT d.frame_id, d.det_idx", ", found AS (SELECT d.frame_id, d.det_idx") + ") SELECT f.frame_id, f.det_idx::BIGINT AS det_idx, f.star_idx, f.votes, s.cat_id, round(degrees(s.ra), 6) AS ra, round(degrees(s.dec), 6) AS dec, s.mag FROM found f JOIN stars s ON s.star_idx = f.star_idx WHERE f.votes > 0")
+def identified_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kvector.identified(geometric_voting(spark, sf_dir), frame(spark, sf_dir, "stars"))
+    return rows.withColumns({"ra": r6("ra"), "dec": r6("dec")})
+
+
+@query(with_tables("stars") + "SELECT star_idx, cat_id, mag FROM stars ORDER BY star_idx LIMIT 5")
+def star_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.preview(frame(spark, sf_dir, "stars"), 5, "star_idx").select("star_idx", "cat_id", "mag")
+
+
 @query(
     with_tables("stars") + f"""SELECT id1, id2, round(greatest(-1.0, least(1.0, cos(d))), 6) AS cos_theta FROM (SELECT a.star_idx AS id1, b.star_idx AS id2, {_DIST} AS d FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 1.5 AND b.mag <= 1.5) p WHERE d <= 0.15"""
 )
@@ -135,6 +149,14 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kvector.cosine_pairs(_bright(spark, sf_dir, 1.5), 0.15, 1.5).withColumn("cos_theta", r6("cos_theta"))
 
 
+@query(
+    with_tables("stars") + f"""SELECT id1, count(*)::BIGINT AS pairs, round(max(c), 6) AS nearest FROM (SELECT a.star_idx AS id1, cos({_DIST}) AS c FROM stars a JOIN stars b ON a.star_idx < b.star_idx WHERE a.mag <= 1.5 AND b.mag <= 1.5) p WHERE c BETWEEN 0.99e0 AND 0.999e0 GROUP BY id1"""
+)
+def cosine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kvector.cosine_range(kvector.cosine_pairs(_bright(spark, sf_dir, 1.5), 0.15, 1.5), 0.99, 0.999)
+    return found.groupBy("id1").agg(F.count(F.lit(1)).alias("pairs"), r6(F.max("cos_theta")).alias("nearest"))
+
+
 @query(
     with_tables("stars") + """SELECT count(*)::BIGINT AS stars, count(*) FILTER (mag <= 4)::BIGINT AS bright, max(star_idx) AS last, round(min(mag), 6) AS brightest FROM stars"""
 )

@@ -67,9 +67,39 @@ def read_npz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             for content in pdf.content:
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     p = z["pattern_catalog"].astype("i8")
-                yield pd.DataFrame({"stars": list(p[p.any(axis=1)])})
+                    edge = z["pattern_largest_edge"].astype("f8") / 1000 if "pattern_largest_edge" in z else np.full(len(p), np.nan)
+                held = p.any(axis=1)
+                yield pd.DataFrame({"stars": list(p[held]), "largest_edge": pd.array(edge[held]).astype("Float64")})
 
-    return files.mapInPandas(stars, "star_idx long, cat_ids array<long>, ra double, dec double, x double, y double, z double, mag double"), files.mapInPandas(patterns, "stars array<long>")
+    return files.mapInPandas(stars, "star_idx long, cat_ids array<long>, ra double, dec double, x double, y double, z double, mag double"), files.mapInPandas(patterns, "stars array<long>, largest_edge double")
+
+
+#: Properties of a database: fixed names of the format, and the older names or the values that stand for those missing.
+PROPERTIES = (
+    "pattern_mode pattern_size pattern_bins pattern_max_error max_fov min_fov star_catalog epoch_equinox epoch_proper_motion pattern_stars_per_fov"
+    " verification_stars_per_fov star_max_magnitude simplify_pattern range_ra range_dec presort_patterns"
+).split()
+OLDER = {"verification_stars_per_fov": "catalog_stars_per_fov", "star_max_magnitude": "star_min_magnitude"}
+MISSING = {"presort_patterns": "False", "star_catalog": "unknown"}
+
+
+def read_npz_properties(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, key, value)``, values as text: every property of databases stored as NumPy archives; null if one is missing and nothing stands for it."""
+
+    def properties(batches):
+        for pdf in batches:
+            for name, content in zip(pdf.file, pdf.content, strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    packed = z["props_packed"]
+                held = {k: packed[k][()] for k in packed.dtype.names}
+                found = {k: held.get(k, held.get(OLDER.get(k, k), MISSING.get(k))) for k in PROPERTIES}
+                if found["min_fov"] is None:
+                    found["min_fov"] = found["max_fov"]
+                values = [None if v is None else str(v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v) for v in found.values()]
+                yield pd.DataFrame({"file": name, "key": list(found), "value": values})
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return files.mapInPandas(properties, "file string, key string, value string")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
