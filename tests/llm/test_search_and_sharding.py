@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -106,3 +107,42 @@ def test_shards_are_even_and_groups_stay_together(spark, odd, make):
     assert np.mean([n == 1 for n in small]) > 0.8
     assert len(where[zlib.crc32(b"hot")]) <= 5  # 200 of 593 rows fill at least three shards
     assert sharding.shard(odd).count() == odd.count() and sharding.shard(make([])).count() == 0
+
+
+def cut(rows):
+    """Pairs of equal texts that lie on different shards."""
+    return sum(a["grp"] == b["grp"] and a["shard"] != b["shard"] for k, a in enumerate(rows) for b in rows[:k])
+
+
+def test_cut_of_a_tiny_table_against_all_even_placements(spark, make):
+    """Nine documents in groups of 3, 2, 2 and two alone, on three shards of three: the best cut, by trying all, is 0.
+
+    So small a table leaves the quotas no room to move in: about 2.3 of the 5 links
+    are cut (a deal by hash cuts 3.3). Larger ones come near to the best, see below.
+    """
+    texts = ["aa"] * 3 + ["bb"] * 2 + ["cc"] * 2 + ["dd", "ee"]
+    best = min(cut([{"grp": t, "shard": s} for t, s in zip(texts, place, strict=True)]) for place in itertools.product(range(3), repeat=9) if all(place.count(k) == 3 for k in range(3)))
+    cuts = []
+    for seed in range(3):
+        rows = [(100 * seed + i, f"{t} {seed}") for i, t in enumerate(texts)]
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard(make(rows), shards=3).collect()}
+        assert sorted(list(got.values()).count(k) for k in range(3)) == [3, 3, 3]
+        cuts.append(cut([{"grp": t, "shard": got[i]} for i, t in rows]))
+    assert best == 0 and np.mean(cuts) < 10 / 3
+
+
+def test_cut_of_many_groups_is_near_the_best(spark, make):
+    """Two hundred groups of three and 200 documents alone, on eight shards of 100: the best cut is about 0."""
+    rows = [(i, f"group {i // 3}") for i in range(600)] + [(1000 + i, f"alone {i}") for i in range(200)]
+    where = {}
+    for r in sharding.shard(make(rows)).collect():
+        where.setdefault(dict(rows)[r["doc_id"]], []).append(r["shard"])
+    cuts = sum(a != b for s in where.values() for k, a in enumerate(s) for b in s[:k])
+    assert cuts <= 0.1 * 600
+
+
+def test_cut_of_the_given_table_against_a_deal_by_hash(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = sharding.shard(docs).join(docs, "doc_id").groupBy("text", "shard").count().groupBy("text").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same")).where("n > 1")
+    row = got.agg(F.sum(F.col("n") * F.col("n") - F.col("same")).alias("cut"), F.sum(F.col("n") * F.col("n") - F.col("n")).alias("links")).first()
+    assert row["links"] > 0 and row["cut"] / row["links"] < 0.2  # dealt by hash, seven of eight links are cut

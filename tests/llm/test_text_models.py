@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from skymatch.llm import mixing, quality, token_counts
+from skymatch.llm import features, mixing, quality, token_counts
 from skymatch.llm.queries import op6_quality
 
 DATA = "/root/testdata/sf0.01"
@@ -96,3 +96,38 @@ def test_counts_of_whole_texts(odd, make):
 def test_fold_is_the_crc_of_the_text_form(spark):
     row = spark.range(5).select(F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert [r["c"] for r in row] == [zlib.crc32(str(i).encode()) for i in range(5)]
+
+
+def test_ranking_equals_an_independent_minimiser():
+    """Newton steps on the same pairs end at the same weights; the threshold is what a sort of the scores gives."""
+    r = np.random.default_rng(2)
+    better, worse = r.standard_normal((80, 6)) + [1, 0.5, 0, 0, 0, 0], r.standard_normal((60, 6))
+    got = features.rank_weights(better, worse, pairs=3000, rounds=4000, penalty=1e-2, seed=3)
+    draw = np.random.default_rng(3)
+    diff = better[draw.integers(0, 80, 3000)] - worse[draw.integers(0, 60, 3000)]
+    w = np.zeros(6)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        w += np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / 3000 + 1e-2 * np.eye(6), diff.T @ p / 3000 - 1e-2 * w)
+    assert np.allclose(got, w, atol=1e-4)
+    short = features.rank_weights(better, worse, pairs=3000, penalty=1e-2, seed=3)  # the rounds that the operator takes
+    assert np.corrcoef(short, w)[0, 1] > 0.999
+
+
+def test_threshold_is_the_quantile_of_the_training_scores(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    held = docs.join(labels.select("doc_id", "quality"), "doc_id").select("text", "quality").collect()
+    raw = sorted(float((features.standard(np.array([features.features(r["text"])]), model.mean, model.spread) @ model.weights)[0]) for r in held)
+    low = sum(r["quality"] == 0 for r in held)
+    assert abs(model.threshold - (raw[low - 1] + raw[low]) / 2) < 1e-3 and sum(x < model.threshold for x in raw) == low
+
+
+def test_repeated_rows_of_a_labelled_id_are_gathered_once(spark):
+    docs = spark.createDataFrame([(1, f"good text {k % 2}") for k in range(500)] + [(2, "bad")] * 500, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    once = docs.where("text <> 'good text 1'").dropDuplicates()
+    a, b = (quality.fit(d, labels) for d in (docs, once))
+    assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+    a, b = (mixing.fit_domains(d, labels) for d in (docs, once))
+    assert a.names == b.names == ["en:0", "en:1"] and np.array_equal(a.weights, b.weights)
