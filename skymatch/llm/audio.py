@@ -29,6 +29,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 24
 FRAME, HOP, MELS, SLOTS = 256, 128, 24, 8
 PAD = 64
@@ -142,7 +144,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 media = [wav(payload(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return batched(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def describe(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes(raw), sha(raw), tail, sizes(stored), sha(stored), tensor, spans], names)
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensor array<float>, spans array<struct<start_s:double,end_s:double>>"
-    found = media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    found = batched(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, schema)
     return found.withMetadata("tensor", {"shape": [SLOTS, MELS]})
 
 

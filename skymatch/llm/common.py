@@ -39,6 +39,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker, at most.
+BATCH_ROWS = 1000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, and the session's Arrow batches held to `BATCH_ROWS`: the usual 10,000 whole texts are too much memory for a worker and its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

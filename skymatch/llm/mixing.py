@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import batched, materialise
 from .features import WIDTH, class_weights, features, posteriors, scaling, standard
 
 #: Labelled rows to learn from, at most.
@@ -63,7 +63,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
             x = [features(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary())], ["domain", "x"])
 
-    rows = joined.select("text", F.concat_ws(":", "lang", F.col("quality").cast("string")).alias("domain")).mapInArrow(run, "domain string, x binary").collect()
+    rows = batched(joined.select("text", F.concat_ws(":", "lang", F.col("quality").cast("string")).alias("domain"))).mapInArrow(run, "domain string, x binary").collect()
     rows.sort(key=lambda r: (r["domain"], bytes(r["x"])))
     names = sorted({r["domain"] for r in rows})
     if len(names) < 2:
@@ -87,7 +87,7 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tokens, pa.array(list(p), pa.list_(pa.float64()))], ["row", "key", "n_tokens", "chances"])
 
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", text_col).alias("key"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))]))
+    return batched(rows).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))]))
 
 
 def rate(gradients: list[list[float]], step: float, penalty: float, least: float) -> Column:

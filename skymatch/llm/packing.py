@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import batched, materialise, small
 
 #: Shares are whole multiples of 1 / SCALE.
 SCALE = 1 << 20
@@ -145,7 +145,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, ["id", "queue", "n", "ids", "part", "before"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(docs[queue_col].cast("string"), F.lit("")).alias("queue"))
-    return rows.mapInArrow(run, f"id {kind}, queue string, n long, ids binary, part int, before long")
+    return batched(rows).mapInArrow(run, f"id {kind}, queue string, n long, ids binary, part int, before long")
 
 
 class Plan:
@@ -254,4 +254,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", targets: dict[st
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
-    return placed.mapInArrow(run, schema)
+    return batched(placed).mapInArrow(run, schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import batched, materialise, small
 from .graph import components, merge_forest, merge_labels
 
 #: Hashes whose bits are summed at once; bounds the memory of a very long text.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return batched(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, f"id {kind}, fp long")
 
 
 def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int = 512, cols: int = 2048) -> np.ndarray:
@@ -185,7 +185,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, f"id {kind}, th long, n1 long, n2 long, size int, " + ", ".join(f"f{k} long" for k in range(WORDS)))
+    return batched(rows).mapInArrow(run, f"id {kind}, th long, n1 long, n2 long, size int, " + ", ".join(f"f{k} long" for k in range(WORDS)))
 
 
 def _near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _verified(docs: DataFrame, reps: DataFrame, near: DataFrame, words: int, lea
                 held = [shingle_set(t, words).view("i8") for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.list_(pa.int64()))], ["n1", "n2", "h"])
 
-    sets = rows.mapInArrow(sets_of, "n1 long, n2 long, h array<long>")
+    sets = batched(rows).mapInArrow(sets_of, "n1 long, n2 long, h array<long>")
     grouped = dealt.select("n1", "n2", "g", "bundle", "k", "i", "j").join(sets, ["n1", "n2"])
 
     def verify(group: pa.Table) -> pa.Table:

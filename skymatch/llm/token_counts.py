@@ -23,6 +23,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import batched
+
 #: Words whose counts a worker remembers.
 CACHE = 500_000
 
@@ -131,4 +133,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             found = [sum(map(counts.__getitem__, w)) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(found, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return batched(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
