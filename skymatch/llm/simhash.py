@@ -247,19 +247,28 @@ SET = "struct<n1:long,n2:long>"
 
 
 def similar_pairs(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest ``(p, q)`` that joins all of ``x`` with all of ``y`` whose sets have a Jaccard similarity of ``least`` or more."""
+    """A forest ``(p, q)`` that joins all of ``x`` with all of ``y`` whose sets have a Jaccard similarity of ``least`` or more.
+
+    Sets are compared unless they are joined already or, in larger groups, their fingerprints are not near.
+    """
     size = np.array([len(s) for s in sets], "i8")
+    marks = np.array([wide_fingerprint(s) for s in sets]) if len(sets) > 16 else None
     y = y[np.argsort(size[y], kind="stable")]
     flat, start = np.concatenate([sets[k] for k in y.tolist()]), np.cumsum(size[y]) - size[y]
     labels, found = np.arange(len(sets)), []
     for i in x.tolist():
         low, high = np.searchsorted(size[y], [least * size[i] - 1e-9, size[i] / least + 1e-9])
-        some = y[low:high]
-        if not len(some) or (labels[some] == labels[i]).all():
+        at = low + np.nonzero(labels[y[low:high]] != labels[i])[0]
+        if marks is not None:
+            reach = np.where(np.minimum(size[y[at]], size[i]) < SHORT, SHORT_RADIUS[1], RADIUS[1])
+            at = at[np.bitwise_count(marks[y[at]] ^ marks[i]).sum(axis=1) <= reach]
+        if not len(at):
             continue
-        held = flat[start[low] : start[high - 1] + size[y[high - 1]]]
-        at = np.minimum(np.searchsorted(sets[i], held), size[i] - 1)
-        shared = np.add.reduceat((sets[i][at] == held).astype("i8"), start[low:high] - start[low])
+        some, n = y[at], size[y[at]]
+        first = np.cumsum(n) - n
+        held = flat[np.repeat(start[at] - first, n) + np.arange(int(n.sum()))]
+        place = np.minimum(np.searchsorted(sets[i], held), size[i] - 1)
+        shared = np.add.reduceat((sets[i][place] == held).astype("i8"), first)
         good = some[shared >= least * (size[i] + size[some] - shared) - 1e-9]
         labels, picked = merge_forest(labels, np.full(len(good), i), good)
         found.append(np.stack([np.full(len(picked), i), good[picked]]))
