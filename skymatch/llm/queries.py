@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, hnsw, line_dedup, mixing, packing, quality, sharding, simhash, token_counts
+from . import audio, chat, divergence, hnsw, line_dedup, minhash, mixing, packing, quality, sharding, simhash, token_counts, vector_codes
 from .common import materialise, table
 
 
@@ -66,6 +66,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -77,9 +90,76 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_audio": op9_audio,
     "op10_token_counts": op10_token_counts,
+    "op11_divergence": op11_divergence,
+    "op12_minhash": op12_minhash,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+#: Capital and small letters, for SQL that lower-cases nothing else.
+_CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks by joins of single components, a round after the other."""
+    steps = [f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cells AS MATERIALIZED (
+            SELECT r, k // (len(e) // {parts}) AS part, k % (len(e) // {parts}) AS pos, e[k + 1] AS x FROM (SELECT r, e, unnest(range(len(e))) AS k FROM v)
+        ), book0 AS MATERIALIZED (SELECT part, r AS entry, pos, x FROM cells WHERE r < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+            SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+            FROM (SELECT c.r, part, b.entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN book{k} b USING (part, pos) GROUP BY ALL) GROUP BY r, part
+        )""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+            SELECT part, entry, pos, coalesce(m.x, b.x) AS x FROM book{k} b
+            LEFT JOIN (SELECT part, entry, pos, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x FROM near{k} JOIN cells c USING (r, part) GROUP BY ALL) m USING (part, entry, pos)
+        )""")
+    return ", ".join(steps) + f"""
+        , coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r),
+        named AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), named
+    """
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_CASE}) AS t FROM documents),
+        w AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n)::BIGINT AS ln FROM w GROUP BY ALL HAVING count(*) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (
+            SELECT g.lang, g.source, kept.term, kept.ln, coalesce(s.n, 0)::BIGINT AS n FROM g JOIN kept USING (lang)
+            LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM w GROUP BY ALL) s USING (lang, source, term)
+        ), priced AS (
+            SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER own + 2 * count(*) OVER own) AS p, 1 + (1000000000::HUGEINT * (ln + 2)) // (sum(ln) OVER own + 2 * count(*) OVER own) AS q
+            FROM c WINDOW own AS (PARTITION BY lang, source)
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ), terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM priced WHERE n > 0 AND p > q)
+        SELECT * FROM (
+            SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        ) WHERE part = 'pair' OR rank <= 10
+    """,
+    "op12_minhash": f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_CASE}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM d WHERE len(w) > 0)
+        ), n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        e AS MATERIALIZED (
+            SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL)
+            JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+        ), reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+        least AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id, d.doc_id IS NOT DISTINCT FROM least.component_id AS kept FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+    """,
+    "op13_vector_codes": _codes_sql(),
     "op5_chat": """
         WITH r AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

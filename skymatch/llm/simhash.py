@@ -276,7 +276,7 @@ def similar_pairs(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: f
     return p, q
 
 
-def _verified(docs: DataFrame, reps: DataFrame, near: DataFrame, words: int, least: float, block: int) -> DataFrame:
+def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, words: int, least: float, block: int) -> DataFrame:
     """Edges ``(src, dst)`` that join each class of similar sets, found within the components of near fingerprints."""
     of = components(near).select("node.n1", "node.n2", F.xxhash64("component").alias("g"))
     asked = materialise(reps.select("n1", "n2", "size", "rep").join(of, ["n1", "n2"]), "asked")
@@ -330,7 +330,7 @@ def _classes(docs: DataFrame, words: int, least: float, tile_rows: int, block: i
     own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "n")
     reps = materialise(keys.groupBy("n1", "n2").agg(F.min(own).alias("rep"), F.count(F.lit(1)).alias("held"), *[F.first(c).alias(c) for c in numbers[2:]]), "sets")
     near = materialise(_near_sets(reps, least, tile_rows), "near")
-    of = components(materialise(_verified(docs, reps, near, words, least, block), "similar")).select("node.n1", "node.n2", "component")
+    of = components(materialise(verified(docs, reps, near, words, least, block), "similar")).select("node.n1", "node.n2", "component")
     shared = reps.select("n1", "n2", "rep", "held").join(of, ["n1", "n2"], "left").where("held > 1 or component is not null")
     shared = materialise(shared.select("n1", "n2", "rep", F.coalesce("component", F.struct("n1", "n2")).alias("component")), "shared")
     first = shared.groupBy("component").agg(F.min("rep").alias("first"))
