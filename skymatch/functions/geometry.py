@@ -210,21 +210,21 @@ def triad(b1: Vec, b2: Vec, n1: Vec, n2: Vec, eps: float = 1e-12) -> list[Column
 def edge_angles(vectors: list[Vec]) -> Column:
     """The six angles between four directions, in ascending order, as an array."""
     pairs = [(i, j) for i in range(len(vectors)) for j in range(i + 1, len(vectors))]
-    return F.array_sort(F.array(*[chord_angle(chord(vectors[i], vectors[j])) for i, j in pairs]))
+    return F.sort_array(F.array(*[chord_angle(chord(vectors[i], vectors[j])) for i, j in pairs]))
 
 
-def edge_ratios(edges: Column) -> Column:
-    """The smaller edges over the largest, ascending."""
-    return F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e: e / F.element_at(edges, -1))
+def edge_ratios(edges: Column, smaller: int = 5) -> Column:
+    """The ``smaller`` edges over the largest, ascending. Written out by place: functions over arrays are not compiled."""
+    return F.array(*[F.get(edges, k) / F.get(edges, smaller) for k in range(smaller)])
 
 
-def pattern_code(ratios: Column, bins: int) -> Column:
-    return F.transform(ratios, lambda r: F.floor(r * bins).cast("int"))
+def pattern_code(ratios: Column, bins: int, digits: int = 5) -> Column:
+    return F.array(*[F.floor(F.get(ratios, k) * bins).cast("int") for k in range(digits)])
 
 
 def code_key(code: Column, bins: int) -> Column:
     """The code's digits to the base ``bins``, least first: equal for equal codes, and for unequal ones only where a digit is ``bins`` (a ratio of 1)."""
-    return F.aggregate(F.reverse(code), F.lit(0).cast("long"), lambda a, c: a * bins + c)
+    return sum((F.get(code, k).cast("long") * bins**k for k in range(1, 5)), F.get(code, 0).cast("long"))
 
 
 def table_index(key: Column, length: Column) -> Column:

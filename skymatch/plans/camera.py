@@ -286,7 +286,7 @@ _CHORD = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 )
 def database_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, patterns = sky_database(spark, sf_dir)
-    order = F.array_sort("stars")
+    order = F.sort_array("stars")
     return patterns.select(*[F.get(order, k).alias(c) for k, c in enumerate("abcd")], "code_key", r6("largest_edge").alias("largest_edge"))
 
 
