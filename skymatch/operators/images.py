@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
+from .scratch import stored
+
 
 def normalise(pixels: DataFrame) -> DataFrame:
     """Stretch each frame's values to 0..255; a flat frame becomes 0."""
@@ -41,24 +44,30 @@ def _sizes(pixels: DataFrame) -> DataFrame:
 
 
 def box_mean(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
-    """Add ``local``: the mean of the size x size box around each pixel, the border mirrored with its edge. One frame a group."""
-
-    def mean(grid: np.ndarray) -> np.ndarray:
-        sums = np.pad(np.pad(grid, size // 2, "symmetric").cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-        return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / (size * size)
+    """Add ``local``: the mean of the size x size box around each pixel, the border mirrored with its edge. In tiles."""
+    return tiles.filtered(pixels, _half(size), value, lambda grid: _means(grid, size), "symmetric")
 
-    return _by_frame(pixels, size, value, mean)
 
-
-def _by_frame(pixels: DataFrame, size: int, value: str, filtered) -> DataFrame:
-    """Add ``local``: what ``filtered`` makes of each frame's grid of ``value``."""
+def _half(size: int) -> int:
     if size % 2 == 0:
         raise ValueError("the box must be odd")
+    return size // 2
+
+
+def _means(padded: np.ndarray, size: int) -> np.ndarray:
+    """Means of all whole boxes."""
+    sums = np.pad(padded.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / (size * size)
+
+
+def mean_filtered(grid: np.ndarray, size: int) -> np.ndarray:
+    """`box_mean` of one grid."""
+    return _means(np.pad(grid, _half(size), "symmetric"), size)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(local=filtered(_grid(pdf, value))[pdf.y, pdf.x])
 
-    return pixels.groupBy("frame_id").applyInPandas(run, pixels.schema.simpleString()[7:-1] + ", local double")
+def median_filtered(grid: np.ndarray, size: int) -> np.ndarray:
+    """`median_filter` of one grid."""
+    return _medians(np.pad(grid, _half(size), "symmetric"), size)
 
 
 def background(pixels: DataFrame, mode: str | None, size: int = 25) -> DataFrame:
@@ -108,7 +117,7 @@ def opening(spots: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return grown.distinct() if sizes is None else grown.join(spots, ["frame_id", "y", "x"], "left_semi").distinct()  # a grown pixel inside was set before
 
 
-def _labels(y: np.ndarray, x: np.ndarray, corners: bool) -> np.ndarray:
+def blob_labels(y: np.ndarray, x: np.ndarray, corners: bool) -> np.ndarray:
     """Each pixel's blob, numbered by first pixels in reading order: neighbours are linked, links merged by halving paths."""
     wide = int(x.max(initial=0)) + 2
     place = y.astype("i8") * wide + x
@@ -137,12 +146,8 @@ def _labels(y: np.ndarray, x: np.ndarray, corners: bool) -> np.ndarray:
 
 
 def components(spots: DataFrame, corners: bool = False) -> DataFrame:
-    """Add ``label``: blobs of each frame numbered from 0 by their first pixel in reading order; joined by edges, or corners too."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(label=_labels(pdf.y.to_numpy(), pdf.x.to_numpy(), corners))
-
-    return spots.groupBy("frame_id").applyInPandas(run, spots.select("*").schema.simpleString()[7:-1] + ", label long")
+    """Add ``label``: blobs of each frame numbered from 0 by their first pixel in reading order; joined by edges, or corners too. In tiles."""
+    return tiles.labelled(spots, corners, blob_labels)
 
 
 def moments(blobs: DataFrame) -> DataFrame:
@@ -276,7 +281,7 @@ def detect(pixels: DataFrame, sigmas: float = 3.0, min_area: float = 2.0, cap: f
     """
     from ..functions import geometry as g
 
-    blobs = components(mask(pixels, frame_stats(pixels, sigmas, cap)), corners=True)
+    blobs = stored(components(mask(pixels, frame_stats(pixels, sigmas, cap)), corners=True), "blobs")
     areas = outline_areas(blobs).where(F.col("polygon_area") >= min_area)
     rects = boxes(blobs).join(areas, ["frame_id", "label"])
     found = roi_centroids(pixels, rects).join(areas, ["frame_id", "label"])
@@ -285,15 +290,46 @@ def detect(pixels: DataFrame, sigmas: float = 3.0, min_area: float = 2.0, cap: f
     return brightest(rows, None, "intensity")
 
 
-def extract(pixels: DataFrame, sigma: float = 2.0, threshold: float | None = None, size: int = 25, bg_mode: str | None = "local_mean", sigma_mode: str = "global_root_square", binary_open: bool = True, max_area: int | None = 100, min_area: int | None = 5, max_sum: float | None = None, min_sum: float | None = None, max_axis_ratio: float | None = None, most: int | None = None) -> DataFrame:
-    """Spot extraction in one chain: background, noise, threshold, opening, labels, moments, gates, order by brightness."""
-    flat = background(pixels, bg_mode, size)
+def extract(
+    pixels: DataFrame, sigma: float = 2.0, threshold: float | None = None, size: int = 25, bg_mode: str | None = "local_mean", sigma_mode: str = "global_root_square", binary_open: bool = True, max_area: int | None = 100, min_area: int | None = 5,
+    max_sum: float | None = None, min_sum: float | None = None, max_axis_ratio: float | None = None, most: int | None = None, crop: tuple[int, int] | int | None = None, offset: tuple[int, int] = (0, 0), downsample: int | None = None, window: int | None = None,
+    rejects: bool = False,
+) -> DataFrame:
+    """Spot extraction in one chain: window, background, noise, threshold, opening, labels, moments, gates, order by brightness.
+
+    ``crop`` (height and width, or a divisor of both) with ``offset`` (y, x) and
+    ``downsample`` choose what is looked at; with ``window`` centroids are taken
+    anew in squares of that side. Places are those of the whole frame. With
+    ``rejects`` rejected blobs follow, with the gate in ``reject`` and no number.
+    """
+    at = None
+    if crop is not None or downsample:
+        at = stored(_sizes(pixels), "sizes")
+        height, width, divisor = (None, None, crop) if isinstance(crop, int) else (*(crop or (None, None)), None)
+        if crop is not None:
+            window_of = _window(height, width, *offset, downsample or 2, divisor)
+            pixels = crop_to(pixels, height, width, *offset, multiple=downsample or 2, divisor=divisor)
+        at = at.select("frame_id", *[(window_of[k] if crop is not None else F.lit(0)).alias(n) for k, n in ((2, "_oy"), (3, "_ox"))])
+        pixels = reduced(pixels, downsample) if downsample else pixels
+    flat = stored(background(pixels, bg_mode, size), "flat")
     noisy = flat.withColumn("threshold", F.lit(float(threshold))) if threshold is not None else noise(flat, sigma_mode, sigma, size)
     on = noisy.where(F.col("v") > F.col("threshold")).select("frame_id", "y", "x", "v")
     if binary_open:
         on = flat.select("frame_id", "y", "x", "v").join(opening(on.select("frame_id", "y", "x")), ["frame_id", "y", "x"], "left_semi")
-    spots = gate(moments(components(on)), min_area, max_area, min_sum, max_sum, max_axis_ratio)
-    return brightest(spots.where("reject is null").drop("reject"), most)
+    found = gate(moments(stored(components(on), "blobs")), min_area, max_area, min_sum, max_sum, max_axis_ratio)
+    found = stored(found, "found") if rejects else found
+    spots = brightest(found.where("reject is null").drop("reject"), most)
+    if window is not None:
+        spots = stored(spots, "spots")
+        again = recentre(flat, spots, window).withColumnsRenamed({"x": "_nx", "y": "_ny"})
+        spots = spots.join(again, ["frame_id", "det_idx"], "left").withColumns({"x": F.col("_nx"), "y": F.col("_ny")}).drop("_nx", "_ny")
+    if rejects:
+        lost = found.where("reject is not null").withColumn("det_idx", F.lit(None).cast("long"))
+        spots = spots.withColumn("reject", F.lit(None).cast("string")).unionByName(lost)
+    if at is None:
+        return spots
+    names = spots.columns
+    return spots.join(at, "frame_id").withColumns({c: F.col(c) * (downsample or 1) + F.col(f"_o{c}") for c in "xy"}).select(*names)
 
 
 def downsample(pixels: DataFrame, factor: int, mean: bool = False) -> DataFrame:
@@ -309,13 +345,23 @@ def crop(pixels: DataFrame, height: int | None = None, width: int | None = None,
     With ``divisor`` the window is that fraction of each frame's height and width.
     """
     rows = pixels.join(_sizes(pixels), "frame_id")
+    ch, cw, oy, ox = _window(height, width, dy, dx, multiple, divisor)
+    at = rows.withColumns({"y": (F.col("y") - oy).cast("int"), "x": (F.col("x") - ox).cast("int")}).withColumns({"_ch": ch, "_cw": cw})
+    return at.where("y >= 0 and x >= 0 and y < _ch and x < _cw").drop("h", "w", "_ch", "_cw")
+
+
+def _window(height: int | None, width: int | None, dy: int, dx: int, multiple: int, divisor: int | None) -> tuple[Column, Column, Column, Column]:
+    """Height, width and corner of a window in a frame of ``h`` by ``w``."""
     part = lambda n, most: F.lit(n) if divisor is None else F.floor(F.col(most) / divisor)
     up = lambda n, most: F.least(F.ceil(part(n, most) / multiple).cast("int") * multiple, F.floor(F.col(most) / multiple).cast("int") * multiple)
     ch, cw = up(height, "h"), up(width, "w")
     oy = F.least(F.greatest(F.floor((F.col("h") - ch) / 2).cast("int") + dy, F.lit(0)), F.col("h") - ch)
     ox = F.least(F.greatest(F.floor((F.col("w") - cw) / 2).cast("int") + dx, F.lit(0)), F.col("w") - cw)
-    at = rows.withColumns({"y": (F.col("y") - oy).cast("int"), "x": (F.col("x") - ox).cast("int")}).withColumns({"_ch": ch, "_cw": cw})
-    return at.where("y >= 0 and x >= 0 and y < _ch and x < _cw").drop("h", "w", "_ch", "_cw")
+    return ch, cw, oy, ox
+
+
+#: Names for use where arguments are called like the functions.
+crop_to, reduced = crop, downsample
 
 
 def crop_and_downsample(pixels: DataFrame, factor: int | None = None, mean: bool = False, **window) -> DataFrame:
@@ -335,32 +381,45 @@ def _grid(pdf: pd.DataFrame, value: str) -> np.ndarray:
 BOX_VALUES = 8_000_000
 
 
-def _median(grid: np.ndarray, size: int, edge: str = "symmetric") -> np.ndarray:
-    """Medians of the boxes around the places of a grid, some rows at a time."""
-    boxes_of = np.lib.stride_tricks.sliding_window_view(np.pad(grid, size // 2, edge), (size, size))
-    step = max(1, BOX_VALUES // (grid.shape[1] * size * size))
-    return np.concatenate([np.median(boxes_of[y : y + step], axis=(2, 3)) for y in range(0, len(grid), step)])
+def _medians(padded: np.ndarray, size: int) -> np.ndarray:
+    """Medians of all whole boxes, some rows at a time."""
+    boxes_of = np.lib.stride_tricks.sliding_window_view(padded, (size, size))
+    step = max(1, BOX_VALUES // (boxes_of.shape[1] * size * size))
+    return np.concatenate([np.median(boxes_of[y : y + step], axis=(2, 3)) for y in range(0, len(boxes_of), step)])
 
 
 def median_filter(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
-    """Add ``local``: the median of the box around each pixel, the border mirrored with its edge. One frame a group."""
-    return _by_frame(pixels, size, value, lambda grid: _median(grid, size))
+    """Add ``local``: the median of the box around each pixel, the border mirrored with its edge. In tiles."""
+    return tiles.filtered(pixels, _half(size), value, lambda grid: _medians(grid, size), "symmetric")
 
 
-def _blurred(grid: np.ndarray, size: int, sigma: float = 0.0) -> np.ndarray:
-    """Gaussian weights along both axes, the border mirrored without its edge; sigma 0 is the usual one for ``size``."""
+def _weights(size: int, sigma: float = 0.0) -> np.ndarray:
+    """Gaussian weights that sum to 1; sigma 0 is the usual one for ``size``."""
     r, s = size // 2, sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     weights = np.exp(-np.square(np.arange(-r, r + 1)) / (2 * s * s))
+    return weights / weights.sum()
+
+
+def _weighed(padded: np.ndarray, size: int, sigma: float) -> np.ndarray:
+    """Gaussian sums of all whole boxes."""
     for _ in range(2):
-        padded = np.pad(grid, ((0, 0), (r, r)), "reflect") if grid.shape[1] > 1 else np.repeat(grid, size, axis=1)
-        grid = (np.lib.stride_tricks.sliding_window_view(padded, size, axis=1) @ (weights / weights.sum())).T
-    return grid
+        padded = (np.lib.stride_tricks.sliding_window_view(padded, size, axis=1) @ _weights(size, sigma)).T
+    return padded
+
+
+def _blurred(grid: np.ndarray, size: int, sigma: float = 0.0) -> np.ndarray:
+    """Gaussian weights along both axes, the border mirrored without its edge; sigma 0 is the usual one for ``size``."""
+    r = size // 2
+    for axis in range(2):
+        at = ((0, 0), (r, r)) if axis else ((r, r), (0, 0))
+        grid = np.pad(grid, at, "reflect") if grid.shape[axis] > 1 else np.repeat(grid, size, axis=axis)
+    return _weighed(grid, size, sigma)
 
 
 def gaussian_blur(pixels: DataFrame, size: int = 5, sigma: float = 0.0) -> DataFrame:
-    """``v`` weighted by a Gaussian; the border is mirrored without its edge. One frame a group."""
+    """``v`` weighted by a Gaussian; the border is mirrored without its edge. In tiles."""
     rows = pixels.select("frame_id", "y", "x", F.col("v").cast("double").alias("v"))
-    return _by_frame(rows, size, "v", lambda grid: _blurred(grid, size, sigma)).select("frame_id", "y", "x", F.col("local").alias("v"))
+    return tiles.filtered(rows, _half(size), "v", lambda grid: _weighed(grid, size, sigma), "reflect").select("frame_id", "y", "x", F.col("local").alias("v"))
 
 
 def _smaller(grid: np.ndarray, factor: int) -> np.ndarray:
@@ -390,7 +449,7 @@ def flattened(pixels: DataFrame, whole: bool, factor: int = 16) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         smooth = step(_blurred(_grid(pdf, "v"), 3, 1.0))
-        ground = step(_larger(_median(np.floor(_smaller(smooth, factor)), 3, "edge"), smooth.shape))
+        ground = step(_larger(_medians(np.pad(np.floor(_smaller(smooth, factor)), 1, "edge"), 3), smooth.shape))
         clean = np.maximum(smooth - ground, 0)
         return pdf[["frame_id", "y", "x"]].assign(smooth=smooth[pdf.y, pdf.x], clean=clean[pdf.y, pdf.x])
 
@@ -416,7 +475,7 @@ CONTRAST, ASPECT, APART = 5.0, 4.0, 10.0
 
 
 def contour_spots(clean: DataFrame, shown: str, sigmas: float, pad: int, share: float) -> DataFrame:
-    """Spots of ``flattened`` frames: ``frame_id, label, x, y, w, h, first``.
+    """Spots of ``flattened`` frames, which are read several times and so should be stored: ``frame_id, label, x, y, w, h, first``.
 
     Threshold on the whole part of ``clean``, opening, blobs joined by corners,
     boxes that are not elongated, widened by ``share`` of their longer side (``pad``
@@ -433,6 +492,7 @@ def contour_spots(clean: DataFrame, shown: str, sigmas: float, pad: int, share:
         "frame_id", "label", "w", "h", (F.col("y1") * F.col("fw") + F.col("x1")).alias("first"), F.greatest(F.col("x1") - wide, F.lit(0)).alias("x1"), F.greatest(F.col("y1") - wide, F.lit(0)).alias("y1"),
         F.least(F.col("x2") + wide, F.col("fw")).alias("x2"), F.least(F.col("y2") + wide, F.col("fh")).alias("y2"),
     )
+    rects = stored(rects, "rects")
     found = ring_centroids(clean.select("frame_id", "y", "x", F.col(shown).alias("v")), rects, guard=False).where((F.col("contrast") >= CONTRAST) & (F.col("mass") > 0))
     return found.select("frame_id", "label", "x", "y").join(rects.select("frame_id", "label", "w", "h", "first"), ["frame_id", "label"])
 
@@ -447,28 +507,28 @@ def two_stage(pixels: DataFrame) -> DataFrame:
     """
     weight = F.when(F.col("channel") == "R", 0.299).when(F.col("channel") == "G", 0.587).otherwise(0.114)
     gray = pixels.groupBy("frame_id", "y", "x").agg(F.floor(F.sum(F.col("v") * weight) + 0.5).alias("v"))
-    clean = flattened(gray, True)
+    clean = stored(flattened(gray, True), "gray")
     seeds = contour_spots(clean, "smooth", 2.5, 3, 0.5)
     half = F.greatest(F.lit(3), F.floor(F.greatest("w", "h") * 0.5 + 2).cast("int"))
     seeds = seeds.select("frame_id", F.col("label").alias("det_idx"), "x", "y", half.alias("half"))
-    spots = iterate_centroids(clean.select("frame_id", "y", "x", F.col("smooth").alias("v")), seeds, stop_small=False)
-    number = {"B": 0, "G": 1, "R": 2}
-    each = []
-    for channel, k in number.items():
-        own = flattened(pixels.where(F.col("channel") == channel), False)
-        found = contour_spots(own, "clean", 3.5, 2, 0.4)
-        each.append(found.select("frame_id", F.struct(F.lit(k).alias("k"), (-F.col("first")).alias("last")).alias("order"), "x", "y"))
-    fresh = dedup_channels(spots, each[0].unionByName(each[1]).unionByName(each[2]), APART, APART)
-    names = F.array(*map(F.lit, number))
+    spots = stored(iterate_centroids(clean.select("frame_id", "y", "x", F.col("smooth").alias("v")), seeds, stop_small=False), "spots")
+    names = F.array(*map(F.lit, "BGR"))  # each channel of a frame is a frame of its own
+    number = (F.array_position(names, F.col("channel")) - 1).cast("int")
+    planes = pixels.where(F.col("channel").isin(*"BGR")).select((F.col("frame_id") * 3 + number).alias("frame_id"), "y", "x", "v")
+    found = contour_spots(stored(flattened(planes, False), "channels"), "clean", 3.5, 2, 0.4)
+    k = F.pmod(F.col("frame_id"), F.lit(3)).cast("int")
+    found = found.select(((F.col("frame_id") - k) / 3).cast("long").alias("frame_id"), F.struct(k.alias("k"), (-F.col("first")).alias("last")).alias("order"), "x", "y")
+    fresh = dedup_channels(spots, found, APART, APART)
     return spots.select("frame_id", F.lit("gray").alias("channel"), "x", "y").unionByName(fresh.select("frame_id", F.get(names, F.col("order.k")).alias("channel"), "x", "y"))
 
 
 def recentre(pixels: DataFrame, spots: DataFrame, window: int) -> DataFrame:
     """Centroids anew in a square window around each spot, kept inside the frame; values are taken as they are."""
     held = spots.select("frame_id", "det_idx", F.col("x").alias("_sx"), F.col("y").alias("_sy")).join(_sizes(pixels), "frame_id")
-    low = lambda c, n: F.least(F.greatest(F.floor(F.col(c)).cast("int") - window // 2, F.lit(0)), F.col(n) - window)
+    side = F.least(F.lit(window), "h", "w")
+    low = lambda c, n: F.least(F.greatest(F.floor(F.col(c)).cast("int") - F.floor(side / 2).cast("int"), F.lit(0)), F.col(n) - side)
     held = held.withColumn("_x0", low("_sx", "w")).withColumn("_y0", low("_sy", "h"))
-    rects = held.select("frame_id", "det_idx", F.col("_x0").alias("x1"), F.col("_y0").alias("y1"), (F.col("_x0") + window).alias("x2"), (F.col("_y0") + window).alias("y2"))
+    rects = held.select("frame_id", "det_idx", F.col("_x0").alias("x1"), F.col("_y0").alias("y1"), (F.col("_x0") + side).alias("x2"), (F.col("_y0") + side).alias("y2"))
     near = inside(pixels, rects, ["det_idx"])
     sums = near.groupBy("frame_id", "det_idx").agg(F.sum("v").alias("m"), F.sum(F.col("v") * (F.col("x") + 0.5)).alias("mx"), F.sum(F.col("v") * (F.col("y") + 0.5)).alias("my"))
     return sums.select("frame_id", "det_idx", *[F.when(F.col("m") != 0, F.col(f"m{c}") / F.col("m")).alias(c) for c in "xy"])

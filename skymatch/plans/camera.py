@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import attitude, catalogue, joins, solver
+from ..operators import attitude, catalogue, exposures, joins, solver
+from ..operators.scratch import stored
+from ..sources.frames import encode_png
 from .fixtures import frame, with_tables
 from .registry import query
 
@@ -253,17 +257,44 @@ def fine_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
 SKY_FOV, SKY_W, SKY_H = math.radians(25.0), 1024.0, 768.0
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted(spark: SparkSession, sf_dir: str, rot: DataFrame | None = None) -> DataFrame:
     """``detections`` of the frames' cones: every star in the frame, at a hundredth of a pixel, brightest first."""
-    rot = _rotations(spark, sf_dir)
-    stars = frame(spark, sf_dir, "stars").select("star_idx", "x", "y", "z")
+    rot = _rotations(spark, sf_dir) if rot is None else rot
+    stars = frame(spark, sf_dir, "stars").select("star_idx", "mag", "x", "y", "z")
     centres = rot.withColumns({"x": F.col("r00"), "y": F.col("r01"), "z": F.col("r02")})
     near = joins.cones(centres, stars, SKY_FOV * 0.65)
     px, py = g.vector_pixel(g.rotate([F.col(c) for c in attitude.R], g.vec("r")), SKY_W, SKY_H, SKY_FOV)
-    seen = near.select("frame_id", "star_idx", F.round(px, 2).alias("x"), F.round(py, 2).alias("y")).where(g.in_frame(F.col("x"), F.col("y"), SKY_W, SKY_H))
+    seen = near.select("frame_id", "star_idx", "mag", F.round(px, 2).alias("x"), F.round(py, 2).alias("y")).where(g.in_frame(F.col("x"), F.col("y"), SKY_W, SKY_H))
     return seen.withColumn("det_idx", (F.row_number().over(Window.partitionBy("frame_id").orderBy("star_idx")) - 1).cast("long"))
 
 
+#: Images have a pixel for each square of this many pixels of the planted frames.
+COARSE = 2
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file, content)``: a PNG of 16 bits for each of the ``shots``, with a spot for each star over an uneven ground."""
+    shots = frame(spark, sf_dir, "shots")
+    rot = shots.select("frame_id", *[c.alias(n) for c, n in zip(g.rotation("ra0", "dec0", "roll0"), attitude.R, strict=True)])
+    seen = planted(spark, sf_dir, rot).groupBy("frame_id").agg(F.collect_list(F.struct("y", "x", "mag")).alias("spots"))
+    height, width = int(SKY_H) // COARSE, int(SKY_W) // COARSE
+
+    def draw(batches):
+        y, x = np.indices((height, width), "i4")
+        for batch in batches:
+            for name, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = 300.0 + y / 8 + x / 16 + (x * 7 + y * 13 + x * y % 11) % 5
+                for s in spots or []:
+                    cy, cx = s["y"] / COARSE, s["x"] / COARSE
+                    y1, x1 = max(0, int(cy) - 6), max(0, int(cx) - 6)
+                    ys, xs = np.ogrid[y1 : min(height, int(cy) + 7), x1 : min(width, int(cx) + 7)]
+                    image[y1 : y1 + len(ys), x1 : x1 + xs.size] += 12_000 * 10 ** (-0.2 * s["mag"]) * np.exp(-((ys + 0.5 - cy) ** 2 + (xs + 0.5 - cx) ** 2) / 2.4)
+                png = encode_png(np.minimum(image, 65_535).astype("u2"))
+                yield pa.RecordBatch.from_pydict({"file": [f"{name:09d}.png"], "content": [png]})
+
+    return shots.select("frame_id").join(seen, "frame_id", "left").mapInArrow(draw, "file string, content binary")
+
+
 def sky_database(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return catalogue.generate(frame(spark, sf_dir, "stars"), SKY_FOV)
 
@@ -302,3 +333,14 @@ def plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(plate_solve)
+
+
+def solve_from_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shots as files, decoded, extracted and solved in one call."""
+    files = stored(rendered(spark, sf_dir), "shots")
+    stars, patterns = sky_database(spark, sf_dir)
+    found = exposures.solve_images(files, stars, patterns, exposures.Extraction(size=15, min_area=4), fov=SKY_FOV, fov_error=math.radians(1.0))
+    return found.select("file", "status", "n_spots", *[F.round(c, 2).alias(c) for c in ("ra", "dec", "roll", "fov")], "matches")
+
+
+query()(solve_from_images)

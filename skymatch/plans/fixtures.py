@@ -32,6 +32,10 @@ DETECTIONS = """
 FRAMES = """
     SELECT c_custkey AS frame_id, round(radians((c_custkey * 73.13e0) % 360e0), 9) AS ra0, round(asin(1.8e0 * ((c_custkey * 0.5698402910e0) % 1e0) - 0.9e0), 9) AS dec0, round(radians((c_custkey * 41.37e0) % 360e0), 9) AS roll0 FROM {customer}
 """
+#: Cameras that look at the planted sky and keep what they see as image files.
+SHOTS = """
+    SELECT s_suppkey AS frame_id, round(radians((s_suppkey * 57.31e0 + 11e0) % 360e0), 9) AS ra0, round(asin(1.8e0 * ((s_suppkey * 0.7548776662e0) % 1e0) - 0.9e0), 9) AS dec0, round(radians((s_suppkey * 29.17e0 + 5e0) % 360e0), 9) AS roll0 FROM {supplier}
+"""
 PIXELS = """
     SELECT s_suppkey AS frame_id, CAST(p / 32 AS INT) AS y, CAST(p % 32 AS INT) AS x,
         CAST(8 + (s_suppkey * 31 + p * 17 + (p * p) % 13) % 6
@@ -47,7 +51,7 @@ DIRECTIONS = """
             SELECT vec_id, CAST({e1} AS DOUBLE) AS a1, CAST({e2} AS DOUBLE) AS a2, CAST({e3} AS DOUBLE) AS a3, CAST({e4} AS DOUBLE) AS b1, CAST({e5} AS DOUBLE) AS b2, CAST({e6} AS DOUBLE) AS b3 FROM {embeddings}) p) q
     WHERE na > 0 AND nb > 0
 """
-ALL = {"stars": (STARS, "part"), "raw": (RAW, "part"), "detections": (DETECTIONS, "lineitem"), "frames": (FRAMES, "customer"), "pixels": (PIXELS, "supplier"), "directions": (DIRECTIONS, "embeddings")}
+ALL = {"stars": (STARS, "part"), "raw": (RAW, "part"), "detections": (DETECTIONS, "lineitem"), "frames": (FRAMES, "customer"), "shots": (SHOTS, "supplier"), "pixels": (PIXELS, "supplier"), "directions": (DIRECTIONS, "embeddings")}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
