@@ -3,13 +3,15 @@
 1. A classifier learned from the labelled table predicts, for every document,
    the chance of each domain. A domain is a language with a quality label
    ('en:1'); a document may belong to several in part.
-2. Document rates r >= 0 are fitted so that the expected tokens of each domain,
-   sum of r * tokens * chance, meet the targets in the least-squares sense,
-   staying near 1 otherwise. At the optimum a document's rate is its chances
-   times one multiplier per domain, taken from 1 and cut at the least rate, so
-   no state is kept by document. Newton steps on the multipliers solve the small
-   domain-by-domain equations; each is one aggregate over the whole table. Targets
-   that no rates reach, and a fit that has not settled, are warned of.
+2. Document rates r >= 0 are fitted by projected gradient steps from 1, so that the
+   expected tokens of each domain, sum of r * tokens * chance, meet the targets in
+   the least-squares sense. A step moves each rate against the gradient, which is a
+   document's chances times one number a domain, and cuts it at the least rate. The
+   numbers are the domains' errors, preconditioned by how their tokens answer to
+   moves of the rates that are free; a step that does not help is halved. Each step
+   is two or more aggregates over the whole table; rates are written every few steps.
+   Rates move along chances only and so stay near 1. Targets that no rates reach
+   are warned of.
 
 The driver holds the model and a matrix of domains by domains.
 
@@ -18,14 +20,15 @@ matter to the fit and follows their chances; without labelled rows there is one
 domain, '*'; targets for unknown domains are ignored; a domain without a target
 aims at none of the tokens; an id with several quality labels counts for each, and
 of several documents under a labelled id the smallest is learned from; rows that
-repeat id and text are rated and rounded alike; null ids are rated like others; an
-empty table gives no rows; other columns stay.
+repeat id and text are rated and rounded alike; null ids are rated like others; a
+text of any length is taken whole, with the memory of its words; an empty table
+gives no rows; other columns stay.
 """
 
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,116 +93,95 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") ->
     return batched(rows).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("chances", T.ArrayType(T.DoubleType()))]))
 
 
-def rate(gradients: list[list[float]], step: float, penalty: float, least: float) -> Column:
-    """A document's rate after the given gradients: a chain of projected steps over its ``chances``."""
-    out = F.lit(1.0)
-    for g in gradients:
-        slope = sum((F.get("chances", k) * F.lit(v) for k, v in enumerate(g)), F.lit(0.0))
-        out = F.greatest(F.lit(least), out * F.lit(1.0 - step * penalty) - F.lit(step) * (slope - F.lit(penalty)))
+def rate(moves: list[list[float]], least: float, start: Column | None = None) -> Column:
+    """A document's rate after the given moves: a chain of projected steps along its ``chances``, from ``start`` (1)."""
+    out = F.lit(1.0) if start is None else start
+    for m in moves:
+        out = F.greatest(F.lit(float(least)), out - _along(m))
     return out
 
 
+def _along(m) -> Column:
+    return sum((F.get("chances", k) * F.lit(float(v)) for k, v in enumerate(m)), F.lit(0.0))
+
+
 @dataclass
 class Fit:
     names: list[str]
     targets: list[float]
     reached: list[float]
-    gradients: list[list[float]]
+    moves: list[list[float]]
     rate: Column
-    multipliers: list[float] = field(default_factory=list)
 
     def residuals(self) -> dict[str, float]:
         """By domain, how far the reached tokens are from the target, as a share of the target (of one token at least)."""
         return {n: (r - t) / max(1.0, t) for n, r, t in zip(self.names, self.reached, self.targets, strict=True)}
 
 
-def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | None, total: float | None = None, least: float = 0.0, penalty: float = 0.01, rounds: int | None = None, close: float = 1e-3) -> Fit:
-    """Fit rates over ``rows(n_tokens, chances)``; ``targets`` are weights, scaled to ``total`` tokens.
+#: Steps after which the rates are written, and halvings of a step that does not help.
+WRITTEN, HALVINGS = 6, 12
+
 
-    The fit runs until it has converged. With ``rounds`` given it takes that
-    many projected-gradient steps with ``penalty`` instead, met or not.
+def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | None, total: float | None = None, least: float = 0.0, close: float = 1e-3, steps: int = 100) -> Fit:
+    """Fit rates over ``rows(n_tokens, chances)``; ``targets`` are weights, scaled to ``total`` tokens.
 
     None weighs the domains by the square root of their tokens. With ``least``
     over 0 no rate falls below it and, unless ``total`` is given, the total is
-    what lets every domain reach its target by repetition.
+    what lets every domain reach its target by repetition. Steps go on until each
+    domain is within a tenth of ``close`` of its target, or none helps.
     """
-    held = np.array(_sums(rows, F.lit(1.0), len(names)))
+    k = len(names)
+    held = _sums(rows, F.lit(1.0), k)
     now = max(1.0, held.sum())
-    aim = np.sqrt(held) if targets is None else np.array([max(0.0, targets.get(k, 0.0)) for k in names])
+    aim = np.sqrt(held) if targets is None else np.array([max(0.0, targets.get(n, 0.0)) for n in names])
     aim = aim / aim.sum() if aim.sum() > 0 else held / now
     if total is None:
         total = now if least <= 0 else max([now, *(least * h / a for h, a in zip(held, aim, strict=True) if a > 0 and h > 0)])
     aim = aim * total
-    if rounds is None:
-        return _converged(rows, names, held, aim, least, close)
-    worth = np.maximum(held, 1e-3 * now)  # errors are relative to a domain's own tokens
-    gradients: list[list[float]] = []
-    reached = held
-    for _ in range(rounds):
-        error = (reached - aim) / worth
-        if np.abs(reached - aim).sum() <= close * total:
-            break
-        gradients.append(error.tolist())
-        reached = np.array(_sums(rows, rate(gradients, 1.0, penalty, least), len(names)))
-    return Fit(names, aim.tolist(), reached.tolist(), gradients, rate(gradients, 1.0, penalty, least))
-
-
-def _converged(rows: DataFrame, names: list[str], held: np.ndarray, aim: np.ndarray, least: float, close: float, ridge: float = 1e-6, steps: int = 60) -> Fit:
-    """The rates nearest to 1 (by tokens) that meet ``aim``; ``ridge`` weighs nearness against errors.
-
-    Minimises the dual function, which is convex and piecewise quadratic, by
-    Newton steps that are halved until it falls.
-    """
-    k = len(names)
-    worth = np.maximum(held, 1.0)
-    at = np.zeros(k)
-
-    def look(m: np.ndarray):
-        """Dual value, tokens reached, and curvature at multipliers ``m``."""
-        u = sum((F.get("chances", i) * F.lit(float(v)) for i, v in enumerate(m)), F.lit(0.0))
-        seen = rows.select("n_tokens", "chances", u.alias("u"))
-        free, n = F.col("u") < 1.0 - least, F.col("n_tokens")
-        value = F.when(free, F.col("u") * F.col("u") / 2 - F.col("u")).otherwise(-(1.0 - least * least) / 2 - F.lit(least) * (F.col("u") - F.lit(1.0 - least)))
-        r = F.greatest(F.lit(float(least)), 1.0 - F.col("u"))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = [F.sum(n * value), *[F.sum(n * r * F.get("chances", i)) for i in range(k)], *[F.sum(F.when(free, n * F.get("chances", i) * F.get("chances", j)).otherwise(0.0)) for i, j in pairs]]
-        row = [x or 0.0 for x in seen.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()]
-        curve = np.zeros((k, k))
-        for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
-            curve[i, j] = curve[j, i] = x
-        return row[0] + aim @ m + ridge / 2 * (worth * m * m).sum(), np.array(row[1 : k + 1]), curve
-
-    value, reached, curve = look(at)
-    settled = False
-    for _ in range(steps):
-        slope = aim - reached + ridge * worth * at
-        settled = bool((np.abs(slope) <= 0.1 * close * np.maximum(1.0, aim)).all())
-        if settled:
-            break
+    worth = np.maximum(held, 1.0)  # errors are weighed by a domain's own tokens
+    far = lambda reached: float((np.square(reached - aim) / worth).sum())
+    near = lambda reached: bool((np.abs(reached - aim) <= 0.1 * close * np.maximum(1.0, aim)).all())
+    state, done, moves, reached = rows.select("n_tokens", "chances"), 0, [], held
+    while not near(reached) and len(moves) < steps:
+        if len(moves) - done >= WRITTEN:
+            state, done = materialise(state.select("n_tokens", "chances", rate(moves[done:], least, F.col("r") if done else None).alias("r")), "rates"), len(moves)
+        at = rate(moves[done:], least, F.col("r") if done else None)
+        error = reached - aim
+        curve = _curvature(state, at, _along(error / worth), least, k)
         root = np.sqrt(worth)  # domains of all sizes alike
-        move = -np.linalg.solve((curve / np.outer(root, root)) + ridge * np.eye(k), slope / root) / root
-        size = 1.0
-        while size > 1e-6:
-            found = look(at + size * move)
-            if found[0] <= value + 1e-4 * size * (slope @ move):
+        move = np.linalg.solve(curve / np.outer(root, root) + 1e-9 * np.eye(k), error / root) / root
+        for _ in range(HALVINGS):
+            found = _sums(state, F.greatest(F.lit(float(least)), at - _along(move)), k)
+            if far(found) < far(reached) * (1 - 1e-6):
                 break
-            size /= 2
+            move = move / 2
         else:
             break
-        at = at + size * move
-        value, reached, curve = found
-    u = sum((F.get("chances", i) * F.lit(float(v)) for i, v in enumerate(at)), F.lit(0.0))
-    fit = Fit(names, aim.tolist(), reached.tolist(), [], F.greatest(F.lit(float(least)), F.lit(1.0) - u), at.tolist())
-    far = {n: round(x, 4) for n, x in fit.residuals().items() if abs(x) > close}
-    if far or not settled:
-        warnings.warn(f"mixing: {'the fit has not settled; ' * (not settled)}shares of the targets that are over or missing: {far}", stacklevel=3)
+        moves, reached = [*moves, move.tolist()], found
+    fit = Fit(names, aim.tolist(), reached.tolist(), moves, rate(moves, least))
+    over = {n: round(x, 4) for n, x in fit.residuals().items() if abs(x) > close}
+    if over:
+        warnings.warn(f"mixing: shares of the targets that are over or missing: {over}", stacklevel=2)
     return fit
 
 
-def _sums(rows: DataFrame, r: Column, k: int) -> list[float]:
-    rated = rows.select("n_tokens", "chances", r.alias("r"))
-    row = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.get("chances", i)).alias(f"s{i}") for i in range(k)]).first()
-    return [x or 0.0 for x in row]
+def _curvature(rows: DataFrame, r: Column, slope: Column, least: float, k: int) -> np.ndarray:
+    """How the domains' tokens answer to moves: sums of chances by chances over the rows that are free, not held at ``least`` by their slope."""
+    free = (F.col("r") > F.lit(float(least))) | (F.col("slope") < 0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    seen = rows.select("n_tokens", "chances", r.alias("r"), slope.alias("slope")).where(free)
+    row = seen.agg(*[F.sum(F.col("n_tokens") * F.get("chances", i) * F.get("chances", j)).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((k, k))
+    for (i, j), x in zip(pairs, row, strict=True):
+        out[i, j] = out[j, i] = x or 0.0
+    return out
+
+
+def _sums(rows: DataFrame, r: Column, k: int) -> np.ndarray:
+    """By domain, the expected tokens at rate ``r``."""
+    rated = rows.select("n_tokens", "chances", r.alias("rated"))
+    row = rated.agg(*[F.sum(F.col("rated") * F.col("n_tokens") * F.get("chances", i)).alias(f"s{i}") for i in range(k)]).first()
+    return np.array([x or 0.0 for x in row])
 
 
 def copies(r: Column, key: Column) -> Column:
@@ -208,12 +190,13 @@ def copies(r: Column, key: Column) -> Column:
     return F.floor(r + share).cast("int")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
-    """``docs`` with every row repeated (or left out) by its rate. Columns stay as they are."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
+    """``docs`` with every row repeated (or left out) by its rate, ``most`` times at most if given. Columns stay as they are."""
     model = fit_domains(docs, labels)
     rows = materialise(with_posteriors(docs, model), "posteriors")
     fit = fit_rates(rows, model.names, targets, least=least)
-    taken = rows.select("row", copies(fit.rate, F.col("key")).alias("times")).where("times > 0")
+    times = copies(fit.rate, F.col("key"))
+    taken = rows.select("row", (times if most is None else F.least(times, F.lit(most))).alias("times")).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 

@@ -32,8 +32,38 @@ def test_rare_domains_reach_their_targets(spark, soft, least):
     aim = np.sqrt(held) / np.sqrt(held).sum()
     aim *= held.sum() if least == 0 else max(held.sum(), (held / aim).max())
     assert np.allclose(reached, aim, rtol=2e-3)
-    # of all rates that meet the targets these are the nearest to 1
-    assert np.allclose(r, np.maximum(least, 1 - p @ np.array(fit.multipliers)))
+    assert np.allclose(reached, (p * (n * dual(n, p, aim, least))[:, None]).sum(axis=0), rtol=1e-3)
+    steps = np.ones(len(n))  # the same projected steps, one after the other
+    for m in fit.moves:
+        steps = np.maximum(least, steps - p @ np.array(m))
+    assert np.allclose(r, steps)
+
+
+def dual(n, p, aim, least):
+    """The rates nearest to 1 that meet ``aim``, by Newton steps on one multiplier a domain: an independent way."""
+    u = np.zeros(p.shape[1])
+    for _ in range(200):
+        r = np.maximum(least, 1 - p @ u)
+        free = (1 - p @ u > least)[:, None]
+        slope = (p * (n * r)[:, None]).sum(axis=0) - aim
+        u = u + np.linalg.solve((p * free * n[:, None]).T @ p + 1e-6 * n.sum() * np.eye(len(u)), slope) * 0.5
+    return np.maximum(least, 1 - p @ u)
+
+
+def test_written_rates_go_on_and_ill_targets_are_met(spark, monkeypatch):
+    """Sharp cuts bring many documents to the bound, so that steps are many; they are written after each."""
+    r = np.random.default_rng(9)
+    p = r.dirichlet([0.3, 0.3, 0.3, 0.3], 2000)
+    n = r.integers(1, 4000, 2000)
+    df = spark.createDataFrame([(int(a), b) for a, b in zip(n, p.tolist(), strict=True)], "n_tokens long, chances array<double>").cache()
+    monkeypatch.setattr(mixing, "WRITTEN", 1)
+    fit = mixing.fit_rates(df, list("abcd"), {"a": 0.6, "b": 0.3, "c": 0.09, "d": 0.01}, total=float(n.sum()))
+    rate = np.array([x["r"] for x in df.select(fit.rate.alias("r")).collect()])
+    reached = (p * (n * rate)[:, None]).sum(axis=0)
+    assert len(fit.moves) > 1 and rate.min() == 0 and np.allclose(reached, fit.reached)
+    want = (p * (n * dual(n, p, np.array(fit.targets), 0.0))[:, None]).sum(axis=0)
+    near = np.abs(want - fit.targets).max() < 1e-3 * n.sum()
+    assert not near or max(map(abs, fit.residuals().values())) <= 1e-3
 
 
 def test_targets_out_of_reach_are_reported(spark):
