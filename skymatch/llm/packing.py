@@ -7,7 +7,9 @@ next window. With tokens as the unit the served total after w windows is
 ``floor(window * w * share)``, which gives every token's place in closed form:
 deficits carry over windows and over Spark partitions without a sequential
 pass. When a queue runs dry the shares of the others are scaled up and a new
-phase begins; there are at most as many phases as queues.
+phase begins; there are at most as many phases as queues. Beyond 256 queues, those
+that run dry at about the same time share a place in that round and take turns
+within it, which keeps the plan small.
 
 Three steps: (1) one pass tokenizes and writes the ids with each document's
 place in its partition's queue; (2) the totals of each partition and queue, a
@@ -20,7 +22,8 @@ vocabulary allows it, else in 32. A hot source needs no care: its
 rows stay in the partitions they were read in.
 
 Defined results: a null text is empty and packs as the end id alone; a null
-source is the queue ''; repeated rows are packed repeatedly; an empty table
+source is the queue ''; a text of any length is encoded and held whole by one task,
+as ids of 2 or 4 bytes; repeated rows are packed repeatedly; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -148,6 +151,53 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return batched(rows).mapInArrow(run, f"id {kind}, queue string, n long, ids binary, part int, before long")
 
 
+def plan_of(totals: dict[str, int], targets: dict[str, float] | None, window: int, flat: int = 256) -> Plan | Bundles:
+    """The plan for queues with known totals: one level, or two beyond ``flat`` queues."""
+    return Plan(totals, targets, window) if len(totals) <= flat else Bundles(totals, targets, window)
+
+
+class Bundles:
+    """Deficit round-robin on two levels, for many queues.
+
+    A plan keeps an array of its queues for each phase, which grows with the
+    square of their number. Here queues that run dry at about the same time are
+    bundled; one plan serves the bundles, and one in each bundle serves its queues.
+    With bundles of the cube root of n queues the arrays have about n ** (4 / 3)
+    entries. What a dry queue leaves goes to its bundle until that is dry too.
+    """
+
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None, window: int):
+        self.names = sorted(totals)
+        wanted = {k: float(n) if targets is None else max(0.0, targets.get(k, 0.0)) for k, n in totals.items()}
+        total = max(1.0, float(sum(totals.values())))
+        late = sorted(self.names, key=lambda k: (totals[k] / wanted[k] if wanted[k] else float("inf"), totals[k], k))
+        each = max(2, round(len(late) ** (1 / 3)))
+        self.inner, self.bundle, self.place = [], np.zeros(len(late), "i8"), np.zeros(len(late), "i8")
+        number = {k: i for i, k in enumerate(self.names)}
+        for b, c in enumerate(range(0, len(late), each)):
+            some = late[c : c + each]
+            share = sum(wanted[k] for k in some) / max(sum(wanted.values()), 1e-300) if targets is not None else sum(totals[k] for k in some) / total
+            plan = Plan({k: totals[k] for k in some}, {k: wanted[k] for k in some}, max(64, round(window * share)))
+            for i, k in enumerate(plan.names):
+                self.bundle[number[k]], self.place[number[k]] = b, i
+            self.inner.append(plan)
+        keys = [f"{b:09d}" for b in range(len(self.inner))]
+        self.outer = Plan({k: int(p.total.sum()) for k, p in zip(keys, self.inner, strict=True)}, {k: sum(wanted[n] for n in p.names) for k, p in zip(keys, self.inner, strict=True)}, window)
+
+    def cut(self, queue: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """As `Plan.cut`: places in the bundles' streams first, then theirs in the whole one."""
+        found = []
+        for k in np.unique(self.bundle[queue]).tolist():
+            rows = np.nonzero(self.bundle[queue] == k)[0]
+            row, start, length, place = self.inner[k].cut(self.place[queue[rows]], a[rows], b[rows], 1 << 62)
+            found.append((rows[row], start, length, place, np.full(len(row), k)))
+        if not found:
+            return tuple(np.zeros(0, "i8") for _ in range(4))
+        row, start, length, place, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        piece, more, length, place = self.outer.cut(k, place, place + length, size)
+        return row[piece], start[piece] + more, length, place
+
+
 class Plan:
     """Deficit round-robin over queues with known totals: where each queue's tokens go in the stream."""
 
@@ -231,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", targets: dict[st
     """
     made = materialise(tokenize(docs, tokenizer, id_col, text_col, queue_col), "tokens")
     parts = materialise(made.groupBy("part", "queue").agg(F.sum("n").alias("held")), "queues")
-    plan = Plan(dict(parts.groupBy("queue").agg(F.sum("held")).collect()), targets, window or size)
+    plan = plan_of(dict(parts.groupBy("queue").agg(F.sum("held")).collect()), targets, window or size)
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", "queue", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
     placed = made.join(small(offsets, parts.count()), ["part", "queue"]).select("id", "queue", "n", "ids", (F.col("base") + F.col("before")).alias("a"))

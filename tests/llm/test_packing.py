@@ -36,6 +36,60 @@ def test_plan_keeps_proportions_and_leaves_no_gap():
     assert abs(share - 48).max() <= 2  # a queue's share of every window, within the fraction it carries
 
 
+def pieces(plan, totals, size, most=400, seed=1):
+    """All queues cut into documents and placed; the stream must have no gap."""
+    r = np.random.default_rng(seed)
+    q, a, b = [], [], []
+    for k, name in enumerate(plan.names):
+        at = 0
+        while at < totals[name]:
+            n = int(r.integers(1, most))
+            q.append(k), a.append(at), b.append(min(totals[name], at + n))
+            at += n
+    q, a, b = map(np.array, (q, a, b))
+    row, start, length, place = plan.cut(q, a, b, size)
+    order = np.argsort(place)
+    assert place[order][0] == 0 and (place[order][1:] == (place + length)[order][:-1]).all() and length.sum() == sum(totals.values())
+    assert ((place % size) + length <= size).all()
+    return q[row], a[row] + start, length, place
+
+
+@pytest.mark.parametrize("targets", [None, "some"])
+def test_bundles_serve_like_one_plan(targets):
+    """Two levels against one: the same tokens, in order within each queue, and near the same place of the stream."""
+    r = np.random.default_rng(4)
+    totals = {f"s{k:03d}": int(n) for k, n in enumerate(r.pareto(1.0, 60) * 400 + 1)}
+    goal = None if targets is None else {k: float(r.integers(0, 5)) for k in totals}
+    flat, two = packing.Plan(totals, goal, 128), packing.Bundles(totals, goal, 128)
+    assert flat.names == two.names and len(two.inner) > 10
+    at = []
+    for plan in (flat, two):
+        queue, start, length, place = pieces(plan, totals, 128)
+        order = np.lexsort((start, queue))
+        assert (np.diff(place[order])[np.diff(queue[order]) == 0] > 0).all()
+        at.append({(int(q), int(s) + i): int(p) + i for q, s, n, p in zip(queue, start, length, place, strict=True) for i in range(n)})
+    assert at[0].keys() == at[1].keys()
+    apart = np.array([abs(at[0][t] - at[1][t]) for t in at[0]])
+    assert np.median(apart) < (600 if goal is None else 0.1 * len(apart))
+    assert isinstance(packing.plan_of(totals, goal, 128), packing.Plan)
+
+
+def test_twenty_thousand_sources_need_little_memory():
+    import pickle
+    import tracemalloc
+
+    totals = {f"s{k:05d}": 200 + k % 97 for k in range(20_000)}
+    tracemalloc.start()
+    plan = packing.plan_of(totals, {k: 1.0 + int(k[1:]) % 7 for k in totals}, 1024)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(pickle.dumps(plan)) < 60e6
+    some = np.arange(0, 20_000, 400)
+    row, start, length, place = plan.cut(some, np.zeros(len(some), "i8"), np.array([totals[plan.names[k]] for k in some]), 1024)
+    assert np.bincount(row, weights=length).astype(int).tolist() == [totals[plan.names[k]] for k in some]
+    assert place.min() >= 0 and (place + length).max() <= sum(totals.values())
+
+
 @pytest.mark.parametrize("text", ["a  b   c \n\n d", "  x", "x  ", " \n y\t z", "it's 's don't ’s", "<|endoftext|> a", "日本語 テキスト ok é", "a b  c", "x\x1cy \x1f z", "ſ K é'S", " ", "tab\t\tx \r\n y"])
 def test_words_equal_the_tokenizer(text):
     whole = Tokenizer.from_file(public_tokenizers.path(NAME)).encode(text, add_special_tokens=False).ids
