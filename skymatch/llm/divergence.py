@@ -80,7 +80,8 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     rows = batched(docs.select(given(lang_col).alias("lang"), given(source_col).alias("source"), given(text_col).alias("text")))
     found = rows.mapInArrow(run, "lang binary, source binary, term binary, n long, docs long")
     named = found.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")], "n", "docs")
-    return named.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed their rows: what is left to sum comes together by one shuffle, without another pass before it
+    return named.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _whole(a: Column, b: Column) -> Column:
