@@ -147,13 +147,13 @@ def test_simple_process_equals_plain_sums(spark):
 
 def test_filters_in_bands_and_labels_of_long_snakes(spark, monkeypatch):
     grid = np.random.default_rng(1).random((17, 23))
-    whole = images._median(grid, 5)
+    whole = images.median_filtered(grid, 5)
     monkeypatch.setattr(images, "BOX_VALUES", 700)
-    assert np.array_equal(images._median(grid, 5), whole)
+    assert np.array_equal(images.median_filtered(grid, 5), whole)
     snake = [(y, x) for y in range(0, 40, 2) for x in range(40)] + [(y, 39 if y % 4 == 1 else 0) for y in range(1, 39, 2)] + [(60, 3), (61, 4), (63, 7)]
     y, x = (np.array(v) for v in zip(*snake, strict=True))
-    assert set(images._labels(y, x, False)[:-3].tolist()) == {0} and images._labels(y, x, False)[-3:].tolist() == [1, 2, 3]
-    assert images._labels(y, x, True)[-3:].tolist() == [1, 1, 2]
+    assert set(images.blob_labels(y, x, False)[:-3].tolist()) == {0} and images.blob_labels(y, x, False)[-3:].tolist() == [1, 2, 3]
+    assert images.blob_labels(y, x, True)[-3:].tolist() == [1, 1, 2]
 
 
 def test_npz_properties_and_processed_images(spark, tmp_path):
