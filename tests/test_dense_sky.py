@@ -39,4 +39,4 @@ def test_limits_do_not_depend_on_the_size_of_the_table(spark, dense, name):
 def test_votes_by_blocks_equal_votes_in_one(spark, dense):
     detections = sky.frame(spark, dense, "detections").withColumn("det_idx", F.col("det_idx").cast("long"))
     vote = lambda **k: sorted(map(tuple, kvector.vote(detections, sky._index(spark, dense), sky.X_FOV, 320, 240, sky.LOW, sky.HIGH, sky.BINS, sky.TOLERANCE, **k).collect()))
-    assert vote(stars=100, dets=700) == vote()
+    assert vote(stars=100, spans=1500) == vote()
