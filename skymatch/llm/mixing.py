@@ -8,8 +8,9 @@
    the least-squares sense. A step moves each rate against the gradient, which is a
    document's chances times one number a domain, and cuts it at the least rate. The
    numbers are the domains' errors, preconditioned by how their tokens answer to
-   moves of the rates that are free; a step that does not help is halved. Each step
-   is two or more aggregates over the whole table; rates are written every few steps.
+   moves of the rates that are free; of a step that does not help the best of its
+   halves, quarters and so on is taken, all of them tried in one aggregate. Each step
+   is two or three aggregates over the whole table; rates are written every few steps.
    Rates move along chances only and so stay near 1. Targets that no rates reach
    are warned of.
 
@@ -118,6 +119,28 @@ class Fit:
         return {n: (r - t) / max(1.0, t) for n, r, t in zip(self.names, self.reached, self.targets, strict=True)}
 
 
+def least_total(rows: DataFrame, k: int, targets: list[float] | None = None, least: float = 1.0) -> float | None:
+    """The smallest total of ``rows(n_tokens, chances)`` at which some rates ``least + sum of chances * y``, all y >= 0, meet the weights ``targets``.
+
+    Chances are soft: who repeats one domain adds a little to the others, so that a
+    domain cannot stay at its own tokens while others grow. With C the sums of
+    chances by chances, the domains have ``least * own + C y`` tokens and, as a
+    row's chances add up to 1, C times ones is their own tokens; so y >= 0 means
+    ``total * inverse(C) weights >= least``, domain by domain. None if no total
+    does it, as where a weight is lower than what leaks into the domain. One
+    aggregate. ``targets`` None: the square roots of the domains' tokens.
+    """
+    curve = _curvature(rows, F.lit(1.0), F.lit(0.0), 0.0, k)
+    held = curve.sum(axis=1)
+    has = held > 0
+    aim = np.sqrt(held) if targets is None else np.maximum(0.0, np.array(targets, "f8"))
+    if not has.any() or aim.sum() <= 0 or (aim[~has] > 0).any():
+        return None
+    root = np.sqrt(held[has])
+    a = np.linalg.solve(curve[np.ix_(has, has)] / np.outer(root, root) + 1e-12 * np.eye(len(root)), aim[has] / aim.sum() / root) / root
+    return float(least / a.min()) if a.min() > 0 else None
+
+
 #: Steps after which the rates are written, and halvings of a step that does not help.
 WRITTEN, HALVINGS = 6, 12
 
@@ -150,12 +173,12 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | Non
         curve = _curvature(state, at, _along(error / worth), least, k)
         root = np.sqrt(worth)  # domains of all sizes alike
         move = np.linalg.solve(curve / np.outer(root, root) + 1e-9 * np.eye(k), error / root) / root
-        for _ in range(HALVINGS):
-            found = _sums(state, F.greatest(F.lit(float(least)), at - _along(move)), k)
-            if far(found) < far(reached) * (1 - 1e-6):
-                break
-            move = move / 2
-        else:
+        found = _sums(state, F.greatest(F.lit(float(least)), at - _along(move)), k)
+        if far(found) >= far(reached) * (1 - 1e-6):
+            tried = _shorter(state, at, move, least, k)
+            best = min(tried, key=lambda h: far(tried[h]), default=0)
+            found, move = tried.get(best, found), move / 2**best
+        if far(found) >= far(reached) * (1 - 1e-6):
             break
         moves, reached = [*moves, move.tolist()], found
     fit = Fit(names, aim.tolist(), reached.tolist(), moves, rate(moves, least))
@@ -184,6 +207,19 @@ def _sums(rows: DataFrame, r: Column, k: int) -> np.ndarray:
     return np.array([x or 0.0 for x in row])
 
 
+def _tokens(rows: DataFrame) -> float:
+    return float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+
+
+def _shorter(rows: DataFrame, r: Column, move: np.ndarray, least: float, k: int) -> dict[int, np.ndarray]:
+    """The domains' expected tokens after a half, a quarter and so on of ``move``, by the number of halvings: all in one aggregate."""
+    at = rows.select("n_tokens", "chances", r.alias("r"), _along(move).alias("move"))
+    each = at.select("*", F.explode(F.array(*[F.lit(h) for h in range(1, HALVINGS)])).alias("h"))
+    rated = each.select("n_tokens", "chances", "h", F.greatest(F.lit(float(least)), F.col("r") - F.col("move") * F.pow(F.lit(0.5), "h")).alias("rated"))
+    sums = rated.groupBy("h").agg(*[F.sum(F.col("rated") * F.col("n_tokens") * F.get("chances", i)).alias(f"s{i}") for i in range(k)])
+    return {row[0]: np.array([x or 0.0 for x in row[1:]]) for row in sums.collect()}  # a row a halving
+
+
 def copies(r: Column, key: Column) -> Column:
     """How often a document is taken: its rate, rounded up or down by a hash of its key (a hash of id and text), right on average."""
     share = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -191,10 +227,15 @@ def copies(r: Column, key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
-    """``docs`` with every row repeated (or left out) by its rate, ``most`` times at most if given. Columns stay as they are."""
+    """``docs`` with every row repeated (or left out) by its rate, ``most`` times at most if given. Columns stay as they are.
+
+    With ``least`` over 0 the total is the smallest at which all targets are met exactly, if there is one (`least_total`).
+    """
     model = fit_domains(docs, labels)
     rows = materialise(with_posteriors(docs, model), "posteriors")
-    fit = fit_rates(rows, model.names, targets, least=least)
+    weights = None if targets is None else [targets.get(n, 0.0) for n in model.names]
+    total = least_total(rows, len(model.names), weights, least) if least > 0 else None
+    fit = fit_rates(rows, model.names, targets, None if total is None else max(total, _tokens(rows)), least)
     times = copies(fit.rate, F.col("key"))
     taken = rows.select("row", (times if most is None else F.least(times, F.lit(most))).alias("times")).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

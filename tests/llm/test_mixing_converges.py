@@ -71,3 +71,47 @@ def test_targets_out_of_reach_are_reported(spark):
     with pytest.warns(UserWarning, match="over or missing"):
         fit = mixing.fit_rates(df, ["a", "b"], {"a": 1.0, "b": 0.0})
     assert max(map(abs, fit.residuals().values())) > 0.1
+
+
+def soft_rows(spark, seed=4):
+    r = np.random.default_rng(seed)
+    p = np.vstack([r.dirichlet(a, m) for a, m in (([9, 0.2, 0.1], 1500), ([0.2, 4, 0.1], 400), ([0.3, 0.1, 6], 100))])
+    n = r.integers(0, 3000, len(p))
+    return spark.createDataFrame([(int(a), b) for a, b in zip(n, p.tolist(), strict=True)], "n_tokens long, chances array<double>"), n, p
+
+
+@pytest.mark.parametrize("least", [1.0, 0.5])
+@pytest.mark.parametrize("targets", [None, [0.5, 0.3, 0.2]])
+def test_the_least_total_is_met_exactly_and_no_smaller_one_is(spark, least, targets):
+    df, n, p = soft_rows(spark)
+    total = mixing.least_total(df, 3, targets, least)
+    held = (p * n[:, None]).sum(axis=0)
+    aim = np.sqrt(held) if targets is None else np.array(targets)
+    aim = aim / aim.sum()
+    curve = (p * n[:, None]).T @ p
+    y = np.linalg.solve(curve, total * aim - least * held)  # by the definition, row by row of the table
+    assert y.min() > -1e-6 and abs(y.min()) < 1e-6
+    assert np.allclose((p * (n * (least + p @ y))[:, None]).sum(axis=0), total * aim)
+    assert np.linalg.solve(curve, 0.999 * total * aim - least * held).min() < 0
+    if total >= n.sum():
+        fit = mixing.fit_rates(df, list("abc"), None if targets is None else dict(zip("abc", targets, strict=True)), total, least)
+        assert len(fit.moves) <= 2 and max(map(abs, fit.residuals().values())) < 1e-4
+
+
+def test_no_total_for_targets_below_what_leaks_in_and_none_for_empty_tables(spark):
+    df, n, p = soft_rows(spark)
+    assert mixing.least_total(df, 3, [1e-6, 0.5, 0.5]) is None
+    assert mixing.least_total(df.limit(0), 3) is None
+    assert mixing.least_total(df, 3, [0.0, 0.0, 0.0]) is None
+
+
+def test_halvings_in_one_aggregate_equal_single_passes(spark):
+    from pyspark.sql import functions as F
+
+    df, n, p = soft_rows(spark)
+    move = np.array([0.7, -3.0, 1.5])
+    got = mixing._shorter(df, F.lit(1.25), move, 0.5, 3)
+    assert sorted(got) == list(range(1, mixing.HALVINGS))
+    for h, sums in got.items():
+        rate = np.maximum(0.5, 1.25 - p @ (move / 2**h))
+        assert np.allclose(sums, (p * (n * rate)[:, None]).sum(axis=0))
