@@ -222,6 +222,11 @@ def pattern_code(ratios: Column, bins: int, digits: int = 5) -> Column:
     return F.array(*[F.floor(F.get(ratios, k) * bins).cast("int") for k in range(digits)])
 
 
+def digits_key(code: Column, bins: int) -> Column:
+    """A code as one number, its first ratio the lowest digit; a ratio of 1 has the digit ``bins``, so that no two codes share a number."""
+    return F.aggregate(F.reverse(code), F.lit(0).cast("long"), lambda a, c: a * (bins + 1) + c)
+
+
 def code_key(code: Column, bins: int) -> Column:
     """The code's digits to the base ``bins``, least first: equal for equal codes, and for unequal ones only where a digit is ``bins`` (a ratio of 1)."""
     return sum((F.get(code, k).cast("long") * bins**k for k in range(1, 5)), F.get(code, 0).cast("long"))
