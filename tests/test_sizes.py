@@ -61,3 +61,17 @@ def test_count_around_equals_enumeration(spark):
     assert {r["star_idx"]: int(r["patterns"]) for r in catalogue.count_around(edges).collect()} == want and want
     hub = spark.range(1, 3_000_001).select(F.lit(0).cast("long").alias("i"), F.col("id").alias("j"))
     assert int(catalogue.count_around(hub).first()["patterns"]) == 3_000_000 * 2_999_999 * 2_999_998 // 6
+
+
+@pytest.mark.parametrize("name", ["sky_cone", "project_to_pixels", "ball_query", "pairs_band", "cosine_lookup"])
+def test_copies_for_neighbouring_cells_are_not_broadcast(spark, name):
+    assert "Broadcast" not in _plan(registry.QUERIES[name](spark, DATA))
+
+
+def test_self_join_meets_each_pair_once(spark):
+    v, stars = _sky(spark, 150, 6)
+    rows = joins.self_join(stars, 0.4, ["x"]).select("lstar_idx", "rstar_idx").collect()
+    pairs = [tuple(sorted(r)) for r in rows]
+    assert len(pairs) == len(set(pairs))
+    near = {(i, j) for i, j in itertools.combinations(range(150), 2) if np.linalg.norm(v[i] - v[j]) <= 0.4}
+    assert near and near <= set(pairs)
