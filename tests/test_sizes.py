@@ -75,3 +75,13 @@ def test_self_join_meets_each_pair_once(spark):
     assert len(pairs) == len(set(pairs))
     near = {(i, j) for i, j in itertools.combinations(range(150), 2) if np.linalg.norm(v[i] - v[j]) <= 0.4}
     assert near and near <= set(pairs)
+
+
+@pytest.mark.parametrize("name", ["crop", "threshold_mask", "noise_sigma", "crop_and_downsample"])
+def test_pixels_are_made_by_many_tasks_and_not_broadcast(spark, name):
+    plan = _plan(registry.QUERIES[name](spark, DATA))
+    assert "Broadcast" not in plan
+    assert plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM"), "pixels are made after their frames were dealt"
+    made = sky.frame(spark, DATA, "pixels")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
