@@ -81,14 +81,14 @@ def background(pixels: DataFrame, mode: str | None, size: int = 25) -> DataFrame
     if mode not in ("global_mean", "global_median"):
         raise ValueError(f"unknown background mode {mode}")
     level = pixels.groupBy("frame_id").agg((F.avg("v") if mode == "global_mean" else F.median("v")).alias("_level"))
-    return pixels.join(level, "frame_id").withColumn("v", F.col("v") - F.col("_level")).drop("_level")
+    return pixels.hint("merge").join(level, "frame_id").withColumn("v", F.col("v") - F.col("_level")).drop("_level")
 
 
 def noise(pixels: DataFrame, mode: str, sigma: float, size: int = 25) -> DataFrame:
     """Add ``threshold``: sigma times the root mean square or 1.48 times the median of absolute values, of the frame or the box."""
     if mode.startswith("global"):
         level = {"global_root_square": F.sqrt(F.avg(F.col("v") * F.col("v"))), "global_median_abs": F.median(F.abs("v")) * 1.48}[mode]
-        return pixels.join(pixels.groupBy("frame_id").agg((level * sigma).alias("threshold")), "frame_id")
+        return pixels.hint("merge").join(pixels.groupBy("frame_id").agg((level * sigma).alias("threshold")), "frame_id")
     if mode == "local_root_square":
         return box_mean(pixels.withColumn("_sq", F.col("v") * F.col("v")), size, "_sq").withColumn("threshold", F.sqrt("local") * sigma).drop("local", "_sq")
     if mode == "local_median_abs":
