@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from skymatch.operators import catalogue, joins
+from skymatch.operators import catalogue, joins, kvector
 from skymatch.plans import camera, frames, registry, sky  # noqa: F401  importing registers the queries
 
 DATA = "/root/testdata/sf0.01"
@@ -80,8 +80,18 @@ def test_self_join_meets_each_pair_once(spark):
 @pytest.mark.parametrize("name", ["crop", "threshold_mask", "noise_sigma", "crop_and_downsample"])
 def test_pixels_are_made_by_many_tasks_and_not_broadcast(spark, name):
     plan = _plan(registry.QUERIES[name](spark, DATA))
-    assert "Broadcast" not in plan
+    assert plan.count("BroadcastHashJoin") <= (name == "noise_sigma"), "but the two levels of a frame, a row each"
     assert plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM"), "pixels are made after their frames were dealt"
     made = sky.frame(spark, DATA, "pixels")
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_equal_ranges_are_looked_up_once(spark):
+    pairs = spark.range(2000).select(F.col("id").alias("i"), F.col("id").alias("j"), (0.01 + F.col("id") * 0.00009).alias("dist"))
+    pairs = pairs.withColumn("bin", sky.g.distance_bin(F.col("dist"), sky.LOW, sky.HIGH, sky.BINS))
+    ranges = spark.range(600).select(F.col("id").alias("frame_id"), (0.01 + F.col("id") % 3 * 0.05).alias("lo")).withColumn("hi", F.col("lo") + 0.0015).withColumn("hi", F.when(F.col("frame_id") == 5, 0.5).otherwise(F.col("hi")))
+    ask = lambda r: kvector.lookup(r, pairs, sky.LOW, sky.HIGH, sky.BINS)
+    want = ask(ranges).groupBy("frame_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("dist").between(F.col("lo"), F.col("hi"))).alias("inside"))
+    got = kvector.range_counts(ranges, pairs, sky.LOW, sky.HIGH, sky.BINS).select("frame_id", "found", "inside")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 599
