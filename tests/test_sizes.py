@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from skymatch.operators import catalogue, joins, kvector
+from skymatch.operators import catalogue, images, joins, kvector, tiles
 from skymatch.plans import camera, frames, registry, sky  # noqa: F401  importing registers the queries
 
 DATA = "/root/testdata/sf0.01"
@@ -95,3 +95,17 @@ def test_equal_ranges_are_looked_up_once(spark):
     want = ask(ranges).groupBy("frame_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("dist").between(F.col("lo"), F.col("hi"))).alias("inside"))
     got = kvector.range_counts(ranges, pairs, sky.LOW, sky.HIGH, sky.BINS).select("frame_id", "found", "inside")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 599
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50_000])
+def test_tiles_labelled_together_keep_their_blobs(spark, monkeypatch, rows):
+    monkeypatch.setattr(tiles, "SIDE", 8)
+    monkeypatch.setattr(tiles, "ROWS", rows)
+    grid = np.random.default_rng(8).random((3, 20, 20)) < 0.4
+    spots = [(int(f), int(y), int(x)) for f, y, x in np.argwhere(grid)]
+    got = {(r.frame_id, r.y, r.x): r.label for r in images.components(spark.createDataFrame(spots, "frame_id long, y int, x int")).collect()}
+    want = {}
+    for f in range(3):
+        y, x = np.nonzero(grid[f])
+        want |= {(f, int(a), int(b)): int(k) for a, b, k in zip(y, x, images.blob_labels(y, x, False), strict=True)}
+    assert got == want
