@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructType
 
 from .common import materialise
 
@@ -47,26 +49,83 @@ def merge_forest(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.n
     return labels, np.concatenate(picked)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes ``(leaf, root)``, a row each, that join what the links ``x[i]`` to ``y[i]`` join: every node with the smallest of its component."""
+    held, at = np.unique(np.concatenate([x, y]), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    labels = merge_labels(np.arange(len(held)), at[: len(x)], at[len(x) :])
+    leaf = np.nonzero(labels != np.arange(len(held)))[0]
+    return held[leaf], held[labels[leaf]]
+
+
+#: Edges that a task contracts at once.
+PART = 200_000
+
+
+def components(edges: DataFrame, part: int = PART) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``, with the smallest node as component.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014). Each
-    is an aggregate with map-side combine and a join, so a hub of any degree is
-    one row per task; nothing is gathered. Loops and repeated edges are allowed,
-    edges with a null end are dropped, and no edges give no rows. The rounds go on
-    until nothing changes; their number grows with the logarithm of the longest path.
+    Tasks first contract ``part`` edges at a time to stars around their smallest
+    nodes; edges that are no more than that are settled by it. The stars of many
+    parts are united by the large-star and small-star steps in turn (Kiveris et
+    al., 2014). Each is an aggregate with map-side combine and a join, so a hub of
+    any degree is one row per task; nothing is gathered. Loops and repeated edges
+    are allowed, edges with a null end are dropped, and no edges give no rows. The
+    rounds go on until nothing changes; their number grows with the logarithm of the longest path.
     """
-    now = materialise(_directed(edges.select("src", "dst")), "edges")
-    seen = _digest(now)
-    while seen[0]:
-        now = materialise(_small_star(_large_star(now)), "edges")
-        was, seen = seen, _digest(now)
-        if seen == was:
-            break
+    now = materialise(edges.select("src", "dst").where(F.col("src") != F.col("dst")), "edges")
+    rows, whole = now.count(), False
+    if all(_numbers(f.dataType) for f in now.schema):
+        now = materialise(_contracted(now, rows, part), "stars")
+        whole = rows <= part
+    if not whole:
+        now = materialise(_directed(now), "edges")
+        seen = _digest(now)
+        while seen[0]:
+            now = materialise(_small_star(_large_star(now)), "edges")
+            was, seen = seen, _digest(now)
+            if seen == was:
+                break
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
 
 
+def _numbers(kind: DataType) -> bool:
+    """Nodes that arrays can hold: longs, or structs of them."""
+    return isinstance(kind, LongType) or isinstance(kind, StructType) and all(isinstance(f.dataType, LongType) for f in kind)
+
+
+def _contracted(edges: DataFrame, rows: int, part: int) -> DataFrame:
+    """Edges that join what ``edges`` join, as stars for each ``part`` of the ``rows``."""
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return np.stack([np.asarray(c) for c in (column.flatten() if pa.types.is_struct(column.type) else [column])], axis=1)
+
+    def column(nodes: np.ndarray, kind: pa.DataType) -> pa.Array:
+        parts = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in nodes.T]
+        return pa.StructArray.from_arrays(parts, [kind.field(k).name for k in range(kind.num_fields)]) if pa.types.is_struct(kind) else parts[0]
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = (np.concatenate([numbers(b.column(k)) for b in held]) for k in range(2))
+        return pa.RecordBatch.from_arrays([column(n, held[0].column(0).type) for n in stars(*ends)], ["src", "dst"])
+
+    def run(batches):
+        held, waiting = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, part):
+                some = batch.slice(k, part)
+                if held and waiting + some.num_rows > part:
+                    yield star(held)
+                    held, waiting = [], 0
+                held.append(some)
+                waiting += some.num_rows
+        if held:
+            yield star(held)
+
+    kinds = dict(edges.dtypes)
+    return edges.coalesce(max(1, -(-rows // part))).mapInArrow(run, f"src {kinds['src']}, dst {kinds['dst']}")
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """From the larger to the smaller end, each once."""
     return edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()

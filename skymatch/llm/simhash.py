@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, materialise, small
-from .graph import components, merge_forest, merge_labels
+from .graph import components, merge_forest, merge_labels, stars
 
 #: Hashes whose bits are summed at once; bounds the memory of a very long text.
 CHUNK = 1 << 15
@@ -235,8 +235,7 @@ def _near_sets(reps: DataFrame, least: float, tile_rows: int) -> DataFrame:
                 u, v = (dict(zip(["n1", "n2", "size", *words], x.values.flatten(), strict=True)) for x in (left, right))
                 at = [np.stack([np.asarray(z[w]).view("u8") for w in words]) for z in (u, v)]
                 x, y = compare_wide(*at, np.asarray(u["size"]), np.asarray(v["size"]), a.as_py() == b.as_py(), least)
-                ends = [pa.StructArray.from_arrays([z["n1"].take(pa.array(p)), z["n2"].take(pa.array(p))], ["n1", "n2"]) for z, p in ((u, x), (v, y))]
-                yield pa.RecordBatch.from_arrays(ends, ["src", "dst"])
+                yield pa.RecordBatch.from_arrays(_starred(*[np.stack([np.asarray(z[n])[p] for n in ("n1", "n2")], axis=1) for z, p in ((u, x), (v, y))]), ["src", "dst"])
 
     pairs = tile_pairs(reps, level, LEVELS, reach, tile_rows, F.struct("n1", "n2", "size", *words))
     return pairs.mapInArrow(run, f"src {SET}, dst {SET}")
@@ -246,6 +245,11 @@ def _near_sets(reps: DataFrame, least: float, tile_rows: int) -> DataFrame:
 SET = "struct<n1:long,n2:long>"
 
 
+def _starred(left: np.ndarray, right: np.ndarray) -> list[pa.StructArray]:
+    """Links between the sets ``left[i]`` and ``right[i]``, a row ``(n1, n2)`` each, as stars around the smallest sets: these take few rounds to unite."""
+    return [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in nodes.T], ["n1", "n2"]) for nodes in stars(left, right)]
+
+
 def similar_pairs(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest ``(p, q)`` that joins all of ``x`` with all of ``y`` whose sets have a Jaccard similarity of ``least`` or more.
 
@@ -316,9 +320,8 @@ def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, words: int, leas
                 p, q = similar_pairs([sets[m] for m in part.tolist()], np.searchsorted(np.sort(part), x), np.searchsorted(np.sort(part), y), least)
                 found.append(np.stack([part[p], part[q]]))
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), "i8")
-        n1, n2 = group.column("n1").to_numpy(), group.column("n2").to_numpy()
-        ends = [pa.StructArray.from_arrays([pa.array(n1[at], pa.int64()), pa.array(n2[at], pa.int64())], ["n1", "n2"]) for at in (p, q)]
-        return pa.table(ends, ["src", "dst"])
+        names = np.stack([group.column(c).to_numpy() for c in ("n1", "n2")], axis=1)
+        return pa.table(_starred(names[p], names[q]), ["src", "dst"])
 
     return grouped.groupBy("bundle", "i", "j").applyInArrow(verify, f"src {SET}, dst {SET}")
 

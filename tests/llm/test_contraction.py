@@ -1,0 +1,44 @@
+"""Components by contraction in parts: the same classes, whatever the parts, and few jobs where edges are few."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from skymatch.llm import graph
+
+
+def _brute(edges):
+    label = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            for n in (a, b):
+                if label[n] != low:
+                    label[n], changed = low, True
+    return label
+
+
+@pytest.mark.parametrize("kind", ["long", "struct", "string"])
+@pytest.mark.parametrize("part", [7, 200_000])
+def test_parts_do_not_change_the_classes(spark, kind, part):
+    rng = random.Random(part)
+    edges = [(k, k + 1) for k in range(-40, 20)] + [(500, rng.randrange(501, 540)) for _ in range(60)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(40)]
+    want = {str(n): str(c) for n, c in _brute([e for e in edges if e[0] != e[1]]).items()}
+    make = {"long": lambda c: F.col(c), "struct": lambda c: F.when(F.col(c).isNotNull(), F.struct(F.floor(F.col(c) / 16).alias("n1"), F.col(c).alias("n2"))), "string": lambda c: F.lpad((F.col(c) + 1000).cast("string"), 6, "0")}[kind]
+    back = {"long": lambda c: F.col(c), "struct": lambda c: F.col(c)["n2"], "string": lambda c: F.col(c).cast("long") - 1000}[kind]
+    rows = spark.createDataFrame([*edges, (9_000, None), (9_001, 9_001)], "a long, b long")
+    found = graph.components(rows.select(make("a").alias("src"), make("b").alias("dst")).where("src is not null"), part)
+    got = [(str(r[0]), str(r[1])) for r in found.select(back("node"), back("component")).collect()]
+    assert len(got) == len(set(got)) and dict(got) == want
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    made = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: made.append(name) or real(df, name))
+    found = graph.components(spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert {r.component for r in found.collect()} == {0}
+    assert len(made) <= 2
