@@ -1,7 +1,7 @@
 """Neighbourhood and range joins as equi-joins on cells and bins.
 
 Spark would plan a bare distance or range condition as a nested loop. Here one
-side is copied to the neighbouring cells (27 on the sphere, 9 in a frame, or
+side is copied to the neighbouring cells (27 on the sphere, 4 in a frame, or
 the bins of a range), both sides meet by equality, and the exact condition
 filters. Adaptive execution splits cells that are hot.
 """
@@ -48,13 +48,18 @@ def self_join(stars: DataFrame, radius: float, carried: list[str]) -> DataFrame:
     return met.where(~F.col("_own") | (F.col("lstar_idx") < F.col("rstar_idx"))).drop("_own", "_cx", "_cy", "_cz")
 
 
+def reached(right: DataFrame, size: float) -> DataFrame:
+    """Points (rx, ry) copied to the cells ``_cx, _cy``, of side 2 * ``size``, that hold what is within ``size`` of them: two an axis."""
+    side = 2 * size
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - size) / side), F.floor((F.col(c) + size) / side)))
+    return right.withColumn("_cx", near("rx")).withColumn("_cy", near("ry"))
+
+
 def frame_join(left: DataFrame, right: DataFrame, radius: Column | float, size: float, on: list[str]) -> DataFrame:
     """Rows of points (lx, ly) and (rx, ry) with equal ``on`` that are nearer than ``radius`` (at most ``size``)."""
-    a = left.withColumn("_cx", F.floor(F.col("lx") / size)).withColumn("_cy", F.floor(F.col("ly") / size))
-    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = right.withColumn("_cx", F.floor(F.col("rx") / size)).withColumn("_cy", F.floor(F.col("ry") / size))
-    for c in ("_cx", "_cy"):
-        b = b.withColumn("_d", F.explode(near)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    side = 2 * size
+    a = left.withColumn("_cx", F.floor(F.col("lx") / side)).withColumn("_cy", F.floor(F.col("ly") / side))
+    b = reached(right, size)
     met = a.join(b, [*on, "_cx", "_cy"]).drop("_cx", "_cy")
     return met.where(F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")) < radius)
 
