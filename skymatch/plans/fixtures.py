@@ -54,6 +54,10 @@ DIRECTIONS = """
 ALL = {"stars": (STARS, "part"), "raw": (RAW, "part"), "detections": (DETECTIONS, "lineitem"), "frames": (FRAMES, "customer"), "shots": (SHOTS, "supplier"), "pixels": (PIXELS, "supplier"), "directions": (DIRECTIONS, "embeddings")}
 
 
+#: Frames whose pixels a task makes.
+FRAMES_A_TASK = 1000
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table ``name`` as a DataFrame."""
     text, source = ALL[name]
@@ -62,7 +66,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = text.replace("{" + key + "}", value)
     rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     if name == "pixels":  # a small file, one task by its size, makes 1,024 rows of each of its own; dealt by frame, what follows by frame needs no shuffle
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // FRAMES_A_TASK))  # a task's memory does not grow with the table
+        rows = rows.repartition(parts, "s_suppkey")
     made = spark.sql(text, **{source: rows})
     return made.hint("merge") if name == "pixels" else made  # nor are those rows in Spark's estimate of size: it would broadcast them
 
