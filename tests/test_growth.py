@@ -3,7 +3,7 @@
 import math
 import random
 
-from skymatch.operators import joins
+from skymatch.operators import joins, kvector, scratch
 from skymatch.plans import fixtures
 
 
@@ -25,3 +25,27 @@ def test_tasks_that_make_pixels_grow_with_the_frames(spark, monkeypatch):
         assert fixtures.frame(spark, "/root/testdata/sf0.001", "pixels").rdd.getNumPartitions() == 10
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_detections_that_ask_alike_are_counted_once(spark, monkeypatch):
+    rows = {}
+
+    def stored(df, name):
+        out = scratch.stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(kvector, "stored", stored)
+    rng = random.Random(3)
+    sky_ = [(k, rng.uniform(0, 0.6), rng.uniform(-0.3, 0.3)) for k in range(120)]
+    stars = spark.createDataFrame([(k, ra, dec, math.cos(ra) * math.cos(dec), math.sin(ra) * math.cos(dec), math.sin(dec)) for k, ra, dec in sky_], "star_idx long, ra double, dec double, x double, y double, z double")
+    shapes = [[(rng.uniform(0, 320), rng.uniform(0, 240)) for _ in range(5)] for _ in range(3)]
+    detections = spark.createDataFrame([(f, d, *at) for f in range(60) for d, at in enumerate(shapes[f % 3])], "frame_id long, det_idx long, x double, y double")
+    pairs = kvector.build(stars, 0.01, 0.2, 100).cache()
+    vote = lambda dets: kvector.vote(dets, pairs, 1.0, 320, 240, 0.01, 0.2, 100, 0.002)
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in vote(detections).collect()}
+    assert len(got) == 300 and 0 < rows["ones"] <= 15 and rows["asked"] >= 20 * rows["ones"]
+    assert any(v for _, v in got.values())
+    for f in range(3):  # a frame by itself, that shares with none
+        alone = {tuple(r)[:2]: tuple(r)[2:] for r in vote(detections.where(f"frame_id = {f}")).collect()}
+        assert all(got[(g, d)] == alone[(f, d)] for g in range(f, 60, 3) for d in range(5))
