@@ -3,8 +3,8 @@
 import math
 import random
 
-from skymatch.operators import joins, kvector, scratch
-from skymatch.plans import fixtures
+from skymatch.operators import attitude, joins, kvector, scratch
+from skymatch.plans import camera, fixtures
 
 
 def test_points_of_a_frame_are_copied_four_times(spark):
@@ -49,3 +49,21 @@ def test_detections_that_ask_alike_are_counted_once(spark, monkeypatch):
     for f in range(3):  # a frame by itself, that shares with none
         alone = {tuple(r)[:2]: tuple(r)[2:] for r in vote(detections.where(f"frame_id = {f}")).collect()}
         assert all(got[(g, d)] == alone[(f, d)] for g in range(f, 60, 3) for d in range(5))
+
+
+def test_only_the_brightest_of_a_frame_are_looked_for_in_waves(spark, tmp_path, monkeypatch):
+    for t in ("part", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").where("c_custkey < 25" if t == "customer" else "true").write.parquet(f"{tmp_path}/{t}.parquet")
+    every = sorted(map(tuple, camera.planted(spark, str(tmp_path)).where("det_idx < 12").collect()))
+    for first in (150, 900, 5000):  # some frames need several waves; one wave holds all stars
+        assert sorted(map(tuple, camera.planted(spark, str(tmp_path), most=12, first=first).collect())) == every
+
+
+def test_poses_of_arrays_are_those_of_pairs(spark):
+    rng = random.Random(9)
+    rows = [(k, [[rng.gauss(0, 1) for _ in range(3)] for _ in range(4)], [[rng.gauss(0, 1) for _ in range(3)] for _ in range(4)]) for k in range(30)]
+    held = spark.createDataFrame(rows, "cand long, a array<struct<x:double,y:double,z:double>>, b array<struct<x:double,y:double,z:double>>")
+    pairs = spark.createDataFrame([(k, *p, *q) for k, a, b in rows for p, q in zip(a, b, strict=True)], "cand long, bx double, by double, bz double, nx double, ny double, nz double")
+    want = {r["cand"]: [r[c] for c in attitude.R] for r in attitude.wahba(pairs, ["cand"]).collect()}
+    got = {r["cand"]: [r[c] for c in attitude.R] for r in attitude.wahba_of_arrays(held, "a", "b", 4).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(x, y, abs_tol=1e-9) for k in want for x, y in zip(want[k], got[k], strict=True))
