@@ -371,6 +371,11 @@ def crop_and_downsample(pixels: DataFrame, factor: int | None = None, mean: bool
     return downsample(pixels, factor, mean) if factor else pixels
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to as many tasks as there are shuffle partitions: small rows, much work, not to be put together by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _grid(pdf: pd.DataFrame, value: str) -> np.ndarray:
     grid = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
     grid[pdf.y, pdf.x] = pdf[value]
@@ -515,7 +520,7 @@ def two_stage(pixels: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, "BGR"))  # each channel of a frame is a frame of its own
     number = (F.array_position(names, F.col("channel")) - 1).cast("int")
     planes = pixels.where(F.col("channel").isin(*"BGR")).select((F.col("frame_id") * 3 + number).alias("frame_id"), "y", "x", "v")
-    found = contour_spots(stored(flattened(planes, False), "channels"), "clean", 3.5, 2, 0.4)
+    found = contour_spots(stored(flattened(_spread(planes, "frame_id"), False), "channels"), "clean", 3.5, 2, 0.4)
     k = F.pmod(F.col("frame_id"), F.lit(3)).cast("int")
     found = found.select(((F.col("frame_id") - k) / 3).cast("long").alias("frame_id"), F.struct(k.alias("k"), (-F.col("first")).alias("last")).alias("order"), "x", "y")
     fresh = dedup_channels(spots, found, APART, APART)
@@ -571,7 +576,7 @@ def iterate_centroids(pixels: DataFrame, spots: DataFrame, half: int = 4, steps:
                 out.append((int(key[0]), int(s.det_idx), cx, cy))
         return pd.DataFrame(out, columns=["frame_id", "det_idx", "x", "y"]).astype({"frame_id": "int64", "det_idx": "int64", "x": "float64", "y": "float64"})
 
-    return pixels.groupBy("frame_id").cogroup(own.groupBy("spot_frame")).applyInPandas(run, "frame_id long, det_idx long, x double, y double")
+    return _spread(pixels, "frame_id").groupBy("frame_id").cogroup(_spread(own, "spot_frame").groupBy("spot_frame")).applyInPandas(run, "frame_id long, det_idx long, x double, y double")
 
 
 def dedup_channels(gray: DataFrame, colour: DataFrame, near_gray: float = 10.0, near_colour: float = 10.0) -> DataFrame:

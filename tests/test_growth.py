@@ -3,7 +3,9 @@
 import math
 import random
 
-from skymatch.operators import attitude, joins, kvector, scratch
+from pyspark.sql import functions as F
+
+from skymatch.operators import attitude, images, joins, kvector, scratch
 from skymatch.plans import camera, fixtures
 
 
@@ -67,3 +69,12 @@ def test_poses_of_arrays_are_those_of_pairs(spark):
     want = {r["cand"]: [r[c] for c in attitude.R] for r in attitude.wahba(pairs, ["cand"]).collect()}
     got = {r["cand"]: [r[c] for c in attitude.R] for r in attitude.wahba_of_arrays(held, "a", "b", 4).collect()}
     assert got.keys() == want.keys() and all(math.isclose(x, y, abs_tol=1e-9) for k in want for x, y in zip(want[k], got[k], strict=True))
+
+
+def test_frames_are_not_put_into_few_tasks_by_their_size(spark):
+    """Stored pixels are small and the work on a frame is not: adaptive execution must leave the tasks as many as they are."""
+    rows = spark.range(40).select(F.col("id").alias("frame_id"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p"))
+    pixels = scratch.stored(rows.select("frame_id", (F.col("p") / 16).cast("int").alias("y"), (F.col("p") % 16).cast("int").alias("x"), (F.col("p") % 7).cast("double").alias("v")), "frames")
+    spots = scratch.stored(spark.range(40).select(F.col("id").alias("frame_id"), F.lit(0).cast("long").alias("det_idx"), F.lit(8.0).alias("x"), F.lit(8.0).alias("y")), "spots")
+    found = images.iterate_centroids(pixels, spots)
+    assert found.count() == 40 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
