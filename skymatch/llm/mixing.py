@@ -141,6 +141,24 @@ def least_total(rows: DataFrame, k: int, targets: list[float] | None = None, lea
     return float(least / a.min()) if a.min() > 0 else None
 
 
+#: How far over the limit a total goes if no total can be met without lowering some rates.
+ROOM = 1.02
+
+
+def reachable_total(rows: DataFrame, k: int, targets: list[float] | None = None, least: float = 1.0) -> float:
+    """`least_total`; if there is none, ``ROOM`` times the total at which the domain that weighs least for its tokens stays at its own.
+
+    At that limit itself what leaks into the domain as others grow puts it over its
+    target at any rates, so that a fit creeps on without an end; a little more is met in few steps.
+    """
+    held = _sums(rows, F.lit(1.0), k)
+    found = least_total(rows, k, targets, least)
+    if found is None:
+        aim = np.sqrt(held) if targets is None else np.maximum(0.0, np.array(targets, "f8"))
+        found = ROOM * max([0.0, *(least * h * aim.sum() / a for h, a in zip(held, aim, strict=True) if a > 0 and h > 0)])
+    return max(float(held.sum()), found)
+
+
 #: Steps after which the rates are written, and halvings of a step that does not help.
 WRITTEN, HALVINGS = 6, 12
 
@@ -207,10 +225,6 @@ def _sums(rows: DataFrame, r: Column, k: int) -> np.ndarray:
     return np.array([x or 0.0 for x in row])
 
 
-def _tokens(rows: DataFrame) -> float:
-    return float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
-
-
 def _shorter(rows: DataFrame, r: Column, move: np.ndarray, least: float, k: int) -> dict[int, np.ndarray]:
     """The domains' expected tokens after a half, a quarter and so on of ``move``, by the number of halvings: all in one aggregate."""
     at = rows.select("n_tokens", "chances", r.alias("r"), _along(move).alias("move"))
@@ -229,13 +243,13 @@ def copies(r: Column, key: Column) -> Column:
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
     """``docs`` with every row repeated (or left out) by its rate, ``most`` times at most if given. Columns stay as they are.
 
-    With ``least`` over 0 the total is the smallest at which all targets are met exactly, if there is one (`least_total`).
+    With ``least`` over 0 the total is the smallest at which all targets are met exactly, if there is one (`reachable_total`).
     """
     model = fit_domains(docs, labels)
     rows = materialise(with_posteriors(docs, model), "posteriors")
     weights = None if targets is None else [targets.get(n, 0.0) for n in model.names]
-    total = least_total(rows, len(model.names), weights, least) if least > 0 else None
-    fit = fit_rates(rows, model.names, targets, None if total is None else max(total, _tokens(rows)), least)
+    total = reachable_total(rows, len(model.names), weights, least) if least > 0 else None
+    fit = fit_rates(rows, model.names, targets, total, least)
     times = copies(fit.rate, F.col("key"))
     taken = rows.select("row", (times if most is None else F.least(times, F.lit(most))).alias("times")).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -115,3 +115,24 @@ def test_halvings_in_one_aggregate_equal_single_passes(spark):
     for h, sums in got.items():
         rate = np.maximum(0.5, 1.25 - p @ (move / 2**h))
         assert np.allclose(sums, (p * (n * rate)[:, None]).sum(axis=0))
+
+
+def leaking_rows(spark, seed=8):
+    """One domain with most tokens, and two small ones that overlap: to repeat the one takes in more of the other than its target."""
+    r = np.random.default_rng(seed)
+    p = np.vstack([r.dirichlet(a, m) for a, m in (([30, 0.3, 0.3], 3000), ([1, 1, 4], 40), ([1, 2, 2], 20))])
+    n = r.integers(1, 3000, len(p))
+    return spark.createDataFrame([(int(a), b) for a, b in zip(n, p.tolist(), strict=True)], "n_tokens long, chances array<double>").cache(), n, p
+
+
+def test_where_no_total_is_met_by_repetition_alone_a_little_more_is_met_in_few_steps(spark):
+    df, n, p = leaking_rows(spark)
+    held = (p * n[:, None]).sum(axis=0)
+    limit = (held / np.sqrt(held)).max() * np.sqrt(held).sum()
+    assert mixing.least_total(df, 3) is None
+    total = mixing.reachable_total(df, 3)
+    assert np.isclose(total, mixing.ROOM * limit)
+    fit = mixing.fit_rates(df, list("abc"), None, total, 1.0)
+    rate = np.array([x["r"] for x in df.select(fit.rate.alias("r")).collect()])
+    assert rate.min() >= 1 and len(fit.moves) <= 15 and max(map(abs, fit.residuals().values())) < 1e-3
+    assert np.allclose((p * (n * rate)[:, None]).sum(axis=0), fit.reached)
