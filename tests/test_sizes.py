@@ -109,3 +109,28 @@ def test_tiles_labelled_together_keep_their_blobs(spark, monkeypatch, rows):
         y, x = np.nonzero(grid[f])
         want |= {(f, int(a), int(b)): int(k) for a, b, k in zip(y, x, images.blob_labels(y, x, False), strict=True)}
     assert got == want
+
+
+def test_patterns_without_ratios_take_no_angles_and_distances_once(monkeypatch):
+    v = np.random.default_rng(6).normal(size=(40, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near = pa.array([[{"j": j, "x": v[j, 0], "y": v[j, 1], "z": v[j, 2]} for j in range(1, 40)]])
+    batch = pa.record_batch([pa.array([0]), *(pa.array([v[0, k]]) for k in range(3)), near], ["a", "ax", "ay", "az", "near"])
+    take = lambda edges: list(catalogue._gathered(catalogue._quads([batch], 1.2, edges)))
+    ((ids, angles),) = take(True)
+    assert (np.diff(np.stack(angles), axis=0) >= 0).all() and len(ids[0]) > 50
+    taken, chords = [], catalogue._chords
+    monkeypatch.setattr(catalogue, "_chords", lambda v, w: taken.append(v.shape) or chords(v, w))
+    monkeypatch.setattr(catalogue, "_angles", None)
+    ((alone, none),) = take(False)
+    assert none is None and np.array_equal(alone, ids) and len(taken) == 1
+    monkeypatch.setattr(catalogue, "WIDE", 10)
+    ((alone, _),) = take(False)
+    assert np.array_equal(alone, ids) and len(taken) > 10
+
+
+def test_the_network_sorts_six_columns():
+    bits = np.array(list(itertools.product((0, 1), repeat=6)))
+    runs = [((0, 1, np.arange(64), np.arange(64)), 64, tuple(bits.T))]
+    ((_, angles),) = catalogue._gathered(runs)
+    assert np.array_equal(np.stack(angles, axis=1), np.sort(bits, axis=1)), "what sorts all zeros and ones sorts all numbers"
