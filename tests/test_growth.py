@@ -78,3 +78,30 @@ def test_frames_are_not_put_into_few_tasks_by_their_size(spark):
     spots = scratch.stored(spark.range(40).select(F.col("id").alias("frame_id"), F.lit(0).cast("long").alias("det_idx"), F.lit(8.0).alias("x"), F.lit(8.0).alias("y")), "spots")
     found = images.iterate_centroids(pixels, spots)
     assert found.count() == 40 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_copies_and_pixels_are_not_broadcast(spark):
+    """What is made of a small file may be large: the driver must not hold it."""
+    pixels = scratch.stored(spark.range(4).select(F.col("id").alias("frame_id"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("p")).select("frame_id", (F.col("p") / 16).cast("int").alias("y"), (F.col("p") % 16).cast("int").alias("x"), (F.col("p") % 7).cast("double").alias("v")), "frames")
+    rects = scratch.stored(spark.range(4).select(F.col("id").alias("frame_id"), F.lit(0).alias("label"), *[F.lit(v).alias(c) for c, v in (("x1", 2), ("y1", 3), ("x2", 9), ("y2", 10))]), "rects")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rings = images.ring_centroids(pixels, rects)
+    assert rings.count() == 4 and "Broadcast" not in plan(rings) and plan(rings).count("SortMergeJoin") == 1, "pixels meet rectangles once"
+    points = lambda p: pixels.select("frame_id", F.col("x").cast("double").alias(f"{p}x"), F.col("y").cast("double").alias(f"{p}y"))
+    assert "Broadcast" not in plan(joins.frame_join(points("l"), points("r"), 2.0, 2.0, ["frame_id"]))
+    assert "Broadcast" not in plan(images.opening(pixels.select("frame_id", "y", "x"), pixels.groupBy("frame_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))).split("Generate")[0]
+
+
+def test_frames_flattened_together_are_those_flattened_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    shapes = [(20, 33), (20, 33), (1, 7), (40, 18), (20, 33), (5, 1)]
+    rows = [(f, y, x, rng.randrange(256)) for f, (h, w) in enumerate(shapes) for y in range(h) for x in range(w) if f != 1 or (y + x) % 5]  # a frame with holes
+    rng.shuffle(rows)
+    pixels = spark.createDataFrame(rows, "frame_id long, y int, x int, v int")
+    calls = lambda: sorted(map(tuple, images.flattened(pixels, True).collect()))
+    alone = sorted(tuple(r) for f in range(len(shapes)) for r in images.flattened(pixels.where(f"frame_id = {f}"), True).collect())
+    assert calls() == alone and len(alone) == len(rows)
+    table = pixels.orderBy("frame_id").toArrow()
+    assert sorted(len(grid) for _, grid, _ in images._stacks(table, "v")) == [1, 1, 1, 3]
+    cut = list(images._whole_frames(table.to_batches(max_chunksize=100), 300))
+    assert len(cut) > 3 and sorted(f for t in cut for f in set(t["frame_id"].to_pylist())) == list(range(len(shapes)))
