@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from skymatch.operators import attitude, images, joins, kvector, scratch
@@ -103,5 +105,32 @@ def test_frames_flattened_together_are_those_flattened_alone(spark, monkeypatch)
     assert calls() == alone and len(alone) == len(rows)
     table = pixels.orderBy("frame_id").toArrow()
     assert sorted(len(grid) for _, grid, _ in images._stacks(table, "v")) == [1, 1, 1, 3]
-    cut = list(images._whole_frames(table.to_batches(max_chunksize=100), 300))
+    cut = list(images.whole_frames(table.to_batches(max_chunksize=100), 300))
     assert len(cut) > 3 and sorted(f for t in cut for f in set(t["frame_id"].to_pylist())) == list(range(len(shapes)))
+
+
+def test_stars_are_drawn_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    y, x, light = rng.uniform(0, 40, 300), rng.uniform(0, 50, 300), rng.uniform(10, 9000, 300)
+    want = np.full((40, 50), 300.0)
+    for cy, cx, top in zip(y, x, light, strict=True):
+        y1, x1 = max(0, int(cy) - 6), max(0, int(cx) - 6)
+        ys, xs = np.ogrid[y1 : min(40, int(cy) + 7), x1 : min(50, int(cx) + 7)]
+        want[y1 : y1 + len(ys), x1 : x1 + xs.size] += top * np.exp(-((ys + 0.5 - cy) ** 2 + (xs + 0.5 - cx) ** 2) / 2.4)
+    monkeypatch.setattr(camera, "DRAWN", 70)
+    got = np.full((40, 50), 300.0)
+    camera._draw(got, y, x, light)
+    assert np.allclose(got, want, rtol=1e-12)
+
+
+def test_shots_are_drawn_by_many_tasks_and_copied_instead_of_stars(spark, monkeypatch):
+    monkeypatch.setattr(camera, "SHOTS_A_TASK", 1)
+    made = camera.rendered(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ObjectHashAggregate" not in plan, "a shot's stars are dealt once, as plain rows"
+    files = made.collect()
+    assert made.rdd.getNumPartitions() == len(files) == len({f["file"] for f in files}) == 10
+    rot = camera._rotations(spark, "/root/testdata/sf0.001")
+    stars = fixtures.frame(spark, "/root/testdata/sf0.001", "stars").select("star_idx", "mag", "x", "y", "z")
+    a, b = (sorted(map(tuple, camera._in_frames(rot, stars, few).collect())) for few in (False, True))
+    assert a == b and a
